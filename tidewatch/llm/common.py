@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -77,3 +78,33 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+_WORD = re.compile("[^\\x20\\x09-\\x0D]+")
+#: What str.split takes for white space and the definition of a word doesn't.
+_OTHER = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in Python."""
+    return _WORD.findall(text) if _OTHER.search(text) else text.split()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) for all ends of edges: the smallest id that can be reached.
+
+    Rounds of joins: every node takes the smallest label among its neighbours' and its own, then its label's label, so
+    rounds grow with the logarithm of the longest path. Each round is written in the shared folder.
+    """
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = materialise(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    while True:
+        near = both.join(labels.withColumnsRenamed({"id": "v"}), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        step = materialise(step, "labels")
+        over = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        labels = materialise(step.join(over, "component").select("id", F.least("component", "next").alias("component"), "before"), "labels")
+        if labels.where("component <> before").isEmpty():
+            return labels.select("id", "component")
+        labels = labels.drop("before")
