@@ -108,3 +108,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels.where("component <> before").isEmpty():
             return labels.select("id", "component")
         labels = labels.drop("before")
+
+
+def runs(batches, keys: int):
+    """Rows of sorted batches as lists of columns, one for each run of equal values in the first `keys` columns."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        values = list(zip(*[table.column(k).to_pylist() for k in range(keys)], strict=True))
+        cuts = [0, *[k for k in range(1, len(values)) if values[k] != values[k - 1]]]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(start, end - start)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held

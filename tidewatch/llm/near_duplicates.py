@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, components, materialise, slices, words_of
+from tidewatch.llm.common import Memo, components, materialise, runs, slices, words_of
 
 BANDS, ROWS = 32, 4
 #: Equal bytes of two sketches below which a pair of similarity 0.8 is out of reach (under 1e-10 of them).
@@ -113,24 +113,6 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _groups(batches, keys: int):
-    """Rows of sorted batches as lists of columns, one for each run of equal values in the first `keys` columns."""
-    import pyarrow as pa
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        values = list(zip(*[table.column(k).to_pylist() for k in range(keys)], strict=True))
-        cuts = [0, *[k for k in range(1, len(values)) if values[k] != values[k - 1]]]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            yield table.slice(start, end - start)
-        held = table.slice(cuts[-1])
-    if held is not None:
-        yield held
-
-
 def _bucket_forest(sketches: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what pairs of similar sketches connect."""
     edges: list[tuple[int, int]] = []
@@ -199,7 +181,7 @@ def _candidates(reps: DataFrame, id_type: str) -> DataFrame:
             made.clear()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for group in _groups(batches, 3):
+        for group in runs(batches, 3):
             ids = group.column(3).to_pylist()
             sketches = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
             made += [(ids[p], ids[q]) for p, q in _bucket_forest(sketches)]
@@ -218,7 +200,7 @@ def _confirmed(dealt: DataFrame, size: int, percent: int, id_type: str) -> DataF
     dealt = dealt.select("group", "part", "id", "text").repartition("group", "part").sortWithinPartitions("group", "part", "id")
 
     def run(batches):
-        for group in _groups(slices(batches), 2):
+        for group in runs(slices(batches), 2):
             found = [(i, s) for i, x in zip(group.column(2).to_pylist(), group.column(3).to_pylist(), strict=True) if len(s := shingles(x, size))]
             ids, sets = [i for i, _ in found], [s for _, s in found]
             edges = set_forest(sets, percent) if len(sets) > 1 else []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_codec, near_duplicates, token_counts, url_rules
+from tidewatch.llm import bpe_codec, near_duplicates, packing, quality_rules, sharding, token_counts, url_rules
 from tidewatch.llm.common import TOKENIZERS, scratch_path
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -17,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules.quality_rules(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
@@ -35,6 +45,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULES)
     out = url_rules.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -42,9 +57,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_token_counts": op7_token_counts,
+    "op9_sharding": op9_sharding,
     "op10_url_rules": op10_url_rules,
 }
 
