@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_codec, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts, url_rules
+from tidewatch.llm import bpe_codec, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts, url_rules, vector_search, warc
 from tidewatch.llm.common import TOKENIZERS, scratch_path
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -42,6 +42,12 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.response_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = warc.derivatives(responses).withColumn("page_id", F.col("source_id").cast("long"))
+    return out.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "payload_digest", "block_digest", "content_length", "block")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
     """A cache of its own for each run, so that all distinct texts are encoded; give a path to keep one."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +56,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_token_counts": op7_token_counts,
+    "op8_nearest": op8_nearest,
     "op9_sharding": op9_sharding,
     "op10_url_rules": op10_url_rules,
 }
