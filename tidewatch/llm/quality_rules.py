@@ -106,15 +106,18 @@ def judge(measured: DataFrame, kind: Column) -> DataFrame:
     rows = measured.withColumns({"base_failed": base, "_kind": kind, "_octave": octave})
     good = rows.where("NOT base_failed AND n_tokens > 0")
     failed: list[Column] = []
-    for name, keys in (("chars_per_token", ["_kind"]), ("byte_share", ["_kind"]), ("token_entropy", ["_kind", "_octave"])):
-        middle = good.groupBy(*keys).agg(F.percentile_approx(name, 0.5, 10_000).alias("_m"))
-        spread = good.join(middle, keys).groupBy(*keys, "_m").agg(F.percentile_approx(F.abs(F.col(name) - F.col("_m")), 0.5, 10_000).alias("_d"))
-        least = F.lit(LEAST) if name == "byte_share" else LEAST * F.col("_m")
-        half = WIDTH[name] * F.greatest(F.col("_d"), least)
-        band = spread.select(*keys, (F.col("_m") - half).alias(f"_low_{name}"), (F.col("_m") + half).alias(f"_high_{name}"))
-        rows = rows.join(band, keys, "left")
-        below, above = F.col(name) < F.col(f"_low_{name}"), F.col(name) > F.col(f"_high_{name}")
-        failed.append(F.coalesce({"chars_per_token": below | above, "byte_share": above, "token_entropy": below}[name], F.lit(False)))
+    for keys, names in ((["_kind"], ["chars_per_token", "byte_share"]), (["_kind", "_octave"], ["token_entropy"])):
+        half = lambda c: F.percentile_approx(c, 0.5, 10_000)
+        # written tables have a known size: Spark broadcasts them below its threshold and shuffles beyond
+        middle = materialise(good.groupBy(*keys).agg(*[half(n).alias(f"_m_{n}") for n in names]), "medians")
+        spread = good.join(middle, keys).groupBy(*keys).agg(*[half(F.abs(F.col(n) - F.col(f"_m_{n}"))).alias(f"_d_{n}") for n in names])
+        bands = materialise(spread.join(middle, keys), "bands")
+        rows = rows.join(bands, keys, "left")
+        for name in names:
+            m, d = F.col(f"_m_{name}"), F.col(f"_d_{name}")
+            wide = WIDTH[name] * F.greatest(d, F.lit(LEAST) if name == "byte_share" else LEAST * m)
+            below, above = F.col(name) < m - wide, F.col(name) > m + wide
+            failed.append(F.coalesce({"chars_per_token": below | above, "byte_share": above, "token_entropy": below}[name], F.lit(False)))
     rows = rows.withColumn("fertility_failed", failed[0] | failed[1] | failed[2])
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed"))
     return rows.drop(*[c for c in rows.columns if c.startswith("_") and c not in measured.columns])
