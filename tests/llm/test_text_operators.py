@@ -55,6 +55,16 @@ def test_quality_bands_reject_what_the_vocabulary_does_not_know(spark):
     assert not any(out[k].kept for k in (61, 62)) and sum(out[k].kept for k in range(60)) >= 58
 
 
+def test_quality_bands_reject_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op2_quality_rules(spark, sf).where("NOT base_failed").join(labels, "doc_id", "left").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 1
+    assert len(clean) > 300 and sum(clean) >= 0.99 * len(clean)
+    assert not any(r.kept for r in rows if 2 * r.n_symbols > r.n_words)
+
+
 def test_quality_odd_rows(spark):
     docs = docs_of(spark, ODD + ODD).withColumn("kept", F.lit("clash"))
     out = quality_rules.quality_rules(docs, f"{TOKENIZERS}/piece_bpe_32k.model")

@@ -1,10 +1,11 @@
 """Quality rules: plain counts of words and lines, and the fertility of a public tokenizer.
 
-A vocabulary that was learned from ordinary prose spends an ordinary number of tokens on it. For every text three
+A vocabulary that was learned from ordinary prose spends an ordinary number of tokens on it. For every text four
 measures are taken: characters per token, the share of tokens that are single bytes (what the vocabulary has no piece
-for), and the entropy of the text's tokens in bits. Each is held against a band around the median of its kind in the whole
-corpus, as wide as a multiple of the median absolute deviation: characters per token and byte share by language, entropy
-by language and length octave, since longer texts use more pieces. Texts without a language are banded by script.
+for), the share of tokens without a letter or digit (punctuation and symbols), and the entropy of the text's tokens in
+bits. Each is held against a band around the median of its kind in the whole corpus, as wide as a multiple of the median
+absolute deviation: characters per token and the shares by language, entropy by language and length octave, since longer
+texts use more pieces. Texts without a language are banded by script.
 """
 
 from __future__ import annotations
@@ -19,21 +20,23 @@ from tidewatch.llm.common import Memo, materialise, slices, words_of
 
 WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
-#: Half widths of the bands in deviations, and the least deviation as a share of the median (for the byte share: as it is).
-WIDTH = {"chars_per_token": 10.0, "byte_share": 10.0, "token_entropy": 5.0}
+#: Half widths of the bands in deviations (from a sample of clean labels, see the README), and the least deviation as a share of the median (for the two shares: as it is).
+WIDTH = {"chars_per_token": 12.0, "byte_share": 10.0, "symbol_share": 5.0, "token_entropy": 4.0}
 LEAST = 0.01
-MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
+MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "symbol_share": "double", "token_entropy": "double"}
 
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str):
-    """A memo from words to ids as bytes, and which ids are single bytes."""
+    """A memo from words to ids as bytes, which ids are single bytes, and which have characters but no letter or digit."""
     import numpy as np
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     single = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return Memo(lambda word: np.array(model.encode(word), "<u2").tobytes(), WORDS), single
+    pieces = [model.id_to_piece(i).lstrip("\u2581") for i in range(len(single))]
+    symbol = np.array([x != "" and not any(map(str.isalnum, x)) for x in pieces]) & ~single
+    return Memo(lambda word: np.array(model.encode(word), "<u2").tobytes(), WORDS), single, symbol
 
 
 def repeated_words(words: list[str]) -> int:
@@ -52,22 +55,22 @@ def repeated_words(words: list[str]) -> int:
 
 
 def measure_text(text: str | None, vocabulary: str) -> tuple:
-    """MEASURES of one text; the last three are None without tokens."""
+    """MEASURES of one text; the last four are None without tokens."""
     import numpy as np
 
     text = text or ""
     words = words_of(text)
     lines = [x for x in text.split("\n") if x and words_of(x)] if "\n" in text else []
-    memo, single = _vocabulary(vocabulary)
+    memo, single, symbol = _vocabulary(vocabulary)
     chars = sum(map(len, words))
     ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u2")
     out = (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(ids))
     if not len(ids):
-        return *out, None, None, None
+        return *out, None, None, None, None
     share = np.bincount(ids)
-    byte_share = float(share[single[: len(share)]].sum() / len(ids))
+    byte_share, symbol_share = (float(share[x[: len(share)]].sum() / len(ids)) for x in (single, symbol))
     share = share[share > 0] / len(ids)
-    return *out, chars / len(ids), byte_share, max(0.0, float(-(share * np.log2(share)).sum()))
+    return *out, chars / len(ids), byte_share, symbol_share, max(0.0, float(-(share * np.log2(share)).sum()))
 
 
 def measure(docs: DataFrame, vocabulary: str, *, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -106,7 +109,7 @@ def judge(measured: DataFrame, kind: Column) -> DataFrame:
     rows = measured.withColumns({"base_failed": base, "_kind": kind, "_octave": octave})
     good = rows.where("NOT base_failed AND n_tokens > 0")
     failed: list[Column] = []
-    for keys, names in ((["_kind"], ["chars_per_token", "byte_share"]), (["_kind", "_octave"], ["token_entropy"])):
+    for keys, names in ((["_kind"], ["chars_per_token", "byte_share", "symbol_share"]), (["_kind", "_octave"], ["token_entropy"])):
         half = lambda c: F.percentile_approx(c, 0.5, 10_000)
         # written tables have a known size: Spark broadcasts them below its threshold and shuffles beyond
         middle = materialise(good.groupBy(*keys).agg(*[half(n).alias(f"_m_{n}") for n in names]), "medians")
@@ -115,10 +118,10 @@ def judge(measured: DataFrame, kind: Column) -> DataFrame:
         rows = rows.join(bands, keys, "left")
         for name in names:
             m, d = F.col(f"_m_{name}"), F.col(f"_d_{name}")
-            wide = WIDTH[name] * F.greatest(d, F.lit(LEAST) if name == "byte_share" else LEAST * m)
+            wide = WIDTH[name] * F.greatest(d, F.lit(LEAST) if name.endswith("_share") else LEAST * m)
             below, above = F.col(name) < m - wide, F.col(name) > m + wide
-            failed.append(F.coalesce({"chars_per_token": below | above, "byte_share": above, "token_entropy": below}[name], F.lit(False)))
-    rows = rows.withColumn("fertility_failed", failed[0] | failed[1] | failed[2])
+            failed.append(F.coalesce({"chars_per_token": below | above, "byte_share": above, "symbol_share": above, "token_entropy": below}[name], F.lit(False)))
+    rows = rows.withColumn("fertility_failed", failed[0] | failed[1] | failed[2] | failed[3])
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed"))
     return rows.drop(*[c for c in rows.columns if c.startswith("_") and c not in measured.columns])
 
