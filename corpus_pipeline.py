@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import line_dedup, near_duplicates, packing, quality_rules
+from tidewatch.llm import line_dedup, near_duplicates, packing, quality_rules, token_counts
 from tidewatch.llm.common import TOKENIZERS, materialise, n_words
 
 
@@ -29,8 +29,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their bins."""
-    return packing.pack_documents(docs, capacity=2048)
+    """The pieces of all documents in tokens, with their bins; near-duplicates are gone by now, equal texts may not share one."""
+    docs = docs.select("doc_id", "source", F.unhex(F.md5("text")).alias("cluster"), "text")
+    sized = materialise(token_counts.with_counts(docs, f"{TOKENIZERS}/word_bpe_49k.json"), "sized")
+    return packing.pack_documents(sized, capacity=2048, size=F.col("n_tokens"), cluster=F.col("cluster"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near), ("best-fit packing", pack)]

@@ -58,6 +58,31 @@ def test_packing_whole_table(spark, sf):
             assert len(values) == len(set(values))
 
 
+def test_packing_keeps_near_copies_apart_and_counts_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("nd", "rst", "lk", "mp")]
+    texts = []
+    for _ in range(30):
+        text = rng.choices(words, k=80)
+        texts += [" ".join(text), " ".join([*text[:-1], "changed"])]
+    rows = [(None if k in (4, 5) else k, t, f"s{k}") for k, t in enumerate([*texts, texts[0], None, " "])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op1_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    bin_of = {}
+    for r in out:
+        if r.doc_id is not None:
+            assert r.n_tokens == len(tokenizer.encode(rows[r.doc_id][1] or "", add_special_tokens=False).ids)
+            bin_of[r.doc_id] = r.bin_id
+    assert bin_of[61] is None and bin_of[62] is None
+    assert all(bin_of[k] != bin_of[k + 1] for k in range(0, 60, 2) if k != 4) and len({bin_of[0], bin_of[1], bin_of[60]}) == 3
+    nameless = [r.bin_id for r in out if r.doc_id is None]
+    assert len(nameless) == len(set(nameless)) == 2
+
+
 def test_packing_odd_rows(spark):
     rows = [(None, "a b", "s", 1), (1, None, "s", 1), (2, "", None, 1), (3, "x " * 5000, None, 1), (4, "a b", "s", 1), (4, "a b", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, piece int")

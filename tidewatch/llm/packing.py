@@ -16,7 +16,9 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import n_words, runs
+from tidewatch.llm.common import materialise, n_words, runs
+from tidewatch.llm.near_duplicates import near_duplicates
+from tidewatch.llm.token_counts import with_counts
 
 #: Items of a part, about: what one task packs at a time.
 PART = 2048
@@ -46,6 +48,20 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
+def sized_and_grouped(docs: DataFrame, tokenizer: str, *, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs with n_tokens and cluster instead of the text: its tokens, and the digest that names its near-duplicates.
+
+    Links are between texts, not ids: documents are linked by their texts' digests, so equal texts are of one cluster
+    whatever their ids, and a null text has none. The rows are written once in the shared folder.
+    """
+    digested = docs.withColumn("cluster", F.unhex(F.md5(F.col(text))))
+    linked = near_duplicates(digested.where(F.col(text).isNotNull()), size=size, percent=percent, id="cluster", text=text)
+    copies = linked.where("NOT kept").groupBy("doc_id").agg(F.min("component_id").alias("_first"))
+    sized = materialise(with_counts(digested, tokenizer, text=text), "sized")
+    sized = sized.join(materialise(copies.withColumnRenamed("doc_id", "cluster"), "copies"), "cluster", "left")
+    return sized.withColumn("cluster", F.coalesce("_first", "cluster")).drop("_first")
+
+
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, size: Column | None = None) -> DataFrame:
     """Pieces of documents in bins: (doc_id, piece, n_tokens, bin_id, bin_offset), one row for each piece.
 

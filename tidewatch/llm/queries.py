@@ -18,7 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    """Sizes in tokens; no two near-duplicates (five-word shingles, similarity of 0.8 or more) share a bin."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return packing.pack_documents(packing.sized_and_grouped(docs, f"{TOKENIZERS}/word_bpe_49k.json"), size=F.col("n_tokens"), cluster=F.col("cluster"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
