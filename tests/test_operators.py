@@ -1,6 +1,7 @@
 """Operators and feeds on hand-made rows."""
 
 import datetime as dt
+import difflib
 import json
 import math
 import random
@@ -123,6 +124,10 @@ def test_radius_join_equals_brute_force(spark):
         return 12742 * math.asin(math.sqrt(h))
 
     assert got == {(p[0], q[0]) for p in a[:-1] for q in b[:-1] if km(p, q) <= 40.0}
+    far = [(k, rng.uniform(-90, 90) if k % 2 else rng.choice([-89.9, 89.8]), rng.choice([-180.0, 179.9, -179.9, 180.0]) + rng.uniform(-0.1, 0.1)) for k in range(300)]
+    frame = spark.createDataFrame(far, "i long, lat double, lon double")
+    got = {(r.i, r.j) for r in spatial.radius_join(frame, frame.withColumnRenamed("i", "j"), 300.0).collect()}
+    assert got == {(p[0], q[0]) for p in far for q in far if km(p, q) <= 300.0} and len(got) > 1000
 
 
 def test_clusters_are_anchored_on_the_gravest(spark):
@@ -132,6 +137,40 @@ def test_clusters_are_anchored_on_the_gravest(spark):
     assert {(r.event_id, r.cluster_id, r.hazards) for r in spatial.clusters(df).collect()} == {(1, 1, 2), (2, 1, 2)}
 
 
+def brute_clusters(rows, km):
+    anchors, out = [], {}
+    for _, event, hazard, _, _, lat, lon in sorted(rows, key=lambda r: (-r[3], -r[4].timestamp(), r[1])):
+        near = next((a for a, p in anchors if spatial._distance(p, (math.radians(lat), math.radians(lon))) <= km), None)
+        if near is None:
+            anchors.append((event, (math.radians(lat), math.radians(lon))))
+        out.setdefault(event if near is None else near, []).append((event, hazard))
+    return {(e, c, len({h for _, h in held})) for c, held in out.items() for e, _ in held if len({h for _, h in held}) > 1}
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = random.Random(9)
+    days = [T0.date(), T0.date() + dt.timedelta(days=1)]
+    rows = [(days[k % 2], k, rng.choice(["flood", "fire", "roads"]), rng.randrange(2, 4), at(rng.randrange(50)), rng.uniform(-37.2, -37), rng.choice([145.0, 179.99, -179.99]) + rng.uniform(0, 0.2)) for k in range(300)]
+    df = spark.createDataFrame([*rows, (None, 999, "fire", 3, at(0), -37.0, 145.0)], f"day date, event_id long, hazard string, severity int, ts {NTZ}, lat double, lon double")
+    got = {(r.event_id, r.cluster_id, r.hazards) for r in spatial.clusters(df).collect()}
+    assert got == set().union(*(brute_clusters([r for r in rows if r[0] == d], 10.0) for d in days)) and len(got) > 200
+
+
+def test_tracks_follow_frames_in_order(spark):
+    rng = random.Random(4)
+    rows = [(radar, at(10 * k), 100 * k + d, 50.0 * d + 3 * k + rng.random(), 40.0 * (d % 3), 30.0) for radar in ("a", "b") for k in range(12) for d in range(6)]
+    df = spark.createDataFrame(rows, f"radar_id string, ts {NTZ}, det long, x double, y double, area double")
+    got = {(r.radar_id, r.det): (r.cell, r.speed_kmh, r.status) for r in spatial.cell_tracks(df.union(df.limit(1).withColumn("x", F.lit(None).cast("double")))).collect()}
+    for radar in ("a", "b"):
+        tracker = spatial.Tracker()
+        for k in range(12):
+            frame = sorted(r for r in rows if r[0] == radar and r[1] == at(10 * k))
+            for r, made in zip(frame, tracker.step(600.0 * k, [r[3:] for r in frame], 1.0), strict=True):
+                cell, speed, status = got[radar, r[2]]
+                assert (cell, status) == (made[0], made[3]) and (speed is None) == (made[1] is None) and (speed is None or speed == pytest.approx(made[1], rel=1e-6))
+    assert {cell for cell, _, _ in got.values()} == set(range(1, 7))
+
+
 def test_tracker_coasts_and_measures(spark):
     t = spatial.Tracker()
     first = t.step(0.0, [(100.0, 100.0, 50.0)], 1.0)
@@ -230,8 +269,58 @@ def test_small_feeds(spark, tmp_path):
     assert [tuple(r) for r in feeds.impact_lines(lines).collect()] == [(2.5, "Road closed")]
 
 
+def match_frames(spark, names, gauges):
+    toks = lambda x: [t for t in x.split() if t not in ("river", "at")]
+    left = [(n, " ".join(toks(n)), toks(n)) for n in names]
+    right = [(f"G{k}", " ".join(toks(g)), toks(g), k) for k, g in enumerate(gauges)]
+    return left, right, (spark.createDataFrame(left, "name string, key string, tokens array<string>"), spark.createDataFrame(right, "gauge string, g_key string, g_tokens array<string>, seq long"))
+
+
+def brute_match(left, right):
+    by_key = {}
+    for gauge, key, tokens, _ in right:
+        if key:
+            by_key.setdefault(key, (gauge, set(tokens)))
+    out = {}
+    for name, key, tokens in left:
+        if not key:
+            continue
+        if key in by_key:
+            out[name] = (by_key[key][0], "exact", "high", 1.0)
+            continue
+        t = set(tokens)
+        part = next(((g, ts) for g, ts in by_key.values() if (t <= ts or ts <= t) and tokens[0] in ts and len(t & ts) >= 2), None)
+        if part:
+            out[name] = (part[0], "subset", "medium", round(len(t & part[1]) / len(t | part[1]), 2))
+        elif best := difflib.get_close_matches(key, list(by_key), n=1, cutoff=0.85):
+            score = difflib.SequenceMatcher(None, key, best[0]).ratio()
+            out[name] = (by_key[best[0]][0], "fuzzy", "medium" if score >= 0.92 else "low", round(score, 3))
+    return out
+
+
 def test_fuzzy_match(spark):
-    names = [("Bridge St", "bridge st", ["bridge", "st"]), ("Loddon", "loddon", ["loddon"]), ("Avoca weirr", "avoca weirr", ["avoca", "weirr"]), ("None", "none", ["none"])]
-    gauges = [("G1", "bridge st", ["bridge", "st"]), ("G2", "loddon river", ["loddon", "river"]), ("G3", "avoca weir", ["avoca", "weir"])]
-    got = spatial.fuzzy_match(spark.createDataFrame(names, "name string, key string, tokens array<string>"), spark.createDataFrame(gauges, "gauge string, g_key string, g_tokens array<string>"))
-    assert {r.name: (r.match, r.method) for r in got.collect()} == {"Bridge St": ("G1", "exact"), "Loddon": ("G2", "tokens"), "Avoca weirr": ("G3", "similar")}
+    names = ["bridge st", "loddon", "avocaweir", "lodon", "avoca weirr", "none", "", "mount avoca weir", "st bridge"]
+    gauges = ["bridge st", "loddon", "avoca weir", "avoca weir", "", "river st bridge end"]
+    left, right, frames = match_frames(spark, names, gauges)
+    got = {r.name: tuple(r)[1:] for r in spatial.fuzzy_match(*frames).collect()}
+    assert got == brute_match(left, right)
+    assert got["avocaweir"][1] == got["lodon"][1] == "fuzzy" and got["st bridge"][1] == "subset" and "mount avoca weir" not in got
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fuzzy_match_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randrange(1, 8)))
+    gauges = [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(120)]
+
+    def typo(x):
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(x) + 1)
+            x = x[:k] + rng.choice(["", "a", " ", "d"]) + x[k + rng.randrange(2) :]
+        return x
+
+    names = sorted({typo(rng.choice(gauges)) for _ in range(150)} | {" ".join(g.split()[:2]) for g in gauges[:30]})
+    left, right, frames = match_frames(spark, names, gauges)
+    got = {r.name: tuple(r)[1:] for r in spatial.fuzzy_match(*frames).collect()}
+    want = brute_match(left, right)
+    assert got == want and {m for _, m, _, _ in want.values()} == {"exact", "subset", "fuzzy"}

@@ -2,59 +2,122 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.geo import KM_PER_DEGREE, haversine_km
+from tidewatch.functions.geo import RADIUS_KM, haversine_km
+from tidewatch.functions.runs import runs
 
+AXES = ("_x", "_y", "_z")
+#: Steps from a cube to itself and to those that touch it.
+STEPS = list(itertools.product((-1, 0, 1), repeat=3))
+#: Rows that a walk over sorted rows gives out at a time.
+OUT = 10_000
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, *, max_latitude: float = 60.0) -> DataFrame:
+
+def cube(lat: Column, lon: Column, km: float) -> Column:
+    """The cube, km wide, of the space around the Earth's centre that a place lies in.
+
+    Places within km of each other lie in one cube or in cubes that touch, at the poles and at the 180th meridian, too.
+    """
+    n = RADIUS_KM / km
+    phi, lam = F.radians(lat), F.radians(lon)
+    places = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
+    return F.struct(*[F.floor(c * n).alias(k) for k, c in zip(AXES, places, strict=True)])
+
+
+def around(c: Column, km: float) -> Column:
+    """A cube and those that touch it, without those that the Earth's surface doesn't pass through."""
+    n = RADIUS_KM / km
+    all_ = F.array(*[F.struct(*[(c[k] + d).alias(k) for k, d in zip(AXES, step, strict=True)]) for step in STEPS])
+    off = lambda x: F.abs(F.sqrt(sum((F.pow(x[k] + 0.5, F.lit(2.0)) for k in AXES), F.lit(0.0))) - n)
+    return F.filter(all_, lambda x: off(x) <= 0.8661)
+
+
+def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs within km of each other, with km as a column; both sides have lat and lon, right's renamed r_lat and r_lon.
 
-    Cells are at least km wide up to max_latitude, so each left row looks into nine; exact distances decide. Rows without
-    coordinates take no part.
+    Each left row looks into its own cube and those around it; exact distances decide. Rows without coordinates take no
+    part.
     """
-    size = km / KM_PER_DEGREE * 1.01
-    wide = size / math.cos(math.radians(max_latitude))
-    a = left.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"_y": F.floor(F.col("lat") / size), "_x": F.floor(F.col("lon") / wide)})
-    for axis in ("_y", "_x"):
-        a = a.withColumn(axis, F.explode(F.array(*[F.col(axis) + k for k in (-1, 0, 1)])))
+    a = left.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_cube", F.explode(around(cube(F.col("lat"), F.col("lon"), km), km)))
     b = right.where("lat IS NOT NULL AND lon IS NOT NULL").withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
-    b = b.withColumns({"_y": F.floor(F.col("r_lat") / size), "_x": F.floor(F.col("r_lon") / wide)})
-    pairs = a.join(b, ["_y", "_x"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    return pairs.where(F.col("km") <= km).drop("_x", "_y")
+    b = b.withColumn("_cube", cube(F.col("r_lat"), F.col("r_lon"), km))
+    pairs = a.select("_cube.*", "*").drop("_cube").join(b.select("_cube.*", "*").drop("_cube"), [*AXES])
+    return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("km") <= km).drop(*AXES)
+
+
+def _distance(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Kilometres between two places in radians."""
+    h = math.sin((a[0] - b[0]) / 2) ** 2 + math.cos(b[0]) * math.cos(a[0]) * math.sin((a[1] - b[1]) / 2) ** 2
+    return 2 * RADIUS_KM * math.asin(math.sqrt(min(1.0, h)))
+
+
+def _areas(cubes: DataFrame, day: str) -> DataFrame:
+    """cubes (day and AXES, distinct) with the area that each is part of: cubes that touch are one area.
+
+    A group is one day's occupied cubes: as many as there are kilometres, however many events lie in them.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left = dict.fromkeys(rows[[*AXES]].itertuples(index=False, name=None), -1)
+        area = 0
+        for first in left:
+            if left[first] < 0:
+                todo, left[first] = [first], area
+                while todo:
+                    x, y, z = todo.pop()
+                    for dx, dy, dz in STEPS:
+                        near = (x + dx, y + dy, z + dz)
+                        if left.get(near) == -1:
+                            left[near] = area
+                            todo.append(near)
+                area += 1
+        return rows.assign(area=list(left.values()))
+
+    return cubes.groupBy(day).applyInPandas(run, T.StructType([*cubes.schema.fields, T.StructField("area", T.LongType())]))
 
 
 def clusters(events: DataFrame, km: float = 10.0, *, least_hazards: int = 2, day: str = "day") -> DataFrame:
     """(day, event_id, cluster_id, hazards): events near the gravest one of each cluster, by falling severity, then time.
 
     An event joins the first cluster whose anchor is within km, else it anchors one. Clusters of fewer hazards go. Days
-    are clustered apart from each other, which bounds a group: it has one day's grave events.
+    are clustered apart from each other, and within a day the areas that no two events within km can connect. A task
+    walks over an area's events in order and holds only the anchors, which are km or more apart. Events without a day
+    or coordinates take no part.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["severity", "ts", "event_id"], ascending=[False, False, True])
-        anchors: list[tuple[float, float, int]] = []
-        made = []
-        for r in rows.itertuples():
-            lat, lon = math.radians(r.lat), math.radians(r.lon)
-            for alat, alon, i in anchors:
-                h = math.sin((alat - lat) / 2) ** 2 + math.cos(lat) * math.cos(alat) * math.sin((alon - lon) / 2) ** 2
-                if 12742.0 * math.asin(math.sqrt(min(1.0, h))) <= km:
-                    made.append(i)
-                    break
-            else:
-                anchors.append((lat, lon, r.event_id))
-                made.append(r.event_id)
-        rows = rows.assign(cluster_id=made)
-        rows["hazards"] = rows.groupby("cluster_id")["hazard"].transform("nunique")
-        return rows.loc[rows.hazards >= least_hazards, [day, "event_id", "cluster_id", "hazards"]]
-
-    rows = events.where("lat IS NOT NULL AND lon IS NOT NULL").select(day, "event_id", "hazard", "severity", "ts", "lat", "lon")
-    return rows.groupBy(day).applyInPandas(run, f"{day} date, event_id long, cluster_id long, hazards int")
+    rows = events.where(F.col(day).isNotNull()).where("lat IS NOT NULL AND lon IS NOT NULL").select(day, "event_id", "hazard", "severity", "ts", "lat", "lon")
+    rows = rows.withColumn("_cube", cube(F.col("lat"), F.col("lon"), km)).select(*rows.columns, "_cube.*")
+    areas = _areas(rows.select(day, *AXES).distinct(), day)
+    dealt = rows.join(areas, [day, *AXES]).repartition(day, "area").sortWithinPartitions(day, "area", F.desc("severity"), F.desc("ts"), "event_id")
+    dealt = dealt.select(day, "area", "event_id", "hazard", "lat", "lon", *AXES)
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, anchors, n = None, {}, 0
+        for batch in batches:
+            found = []
+            for d, area, event, _, lat, lon, *c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (d, area) != key:
+                    key, anchors, n = (d, area), {}, 0
+                at = (math.radians(lat), math.radians(lon))
+                near = [a for step in STEPS for a in anchors.get(tuple(map(sum, zip(c, step, strict=True))), ()) if _distance(a[1], at) <= km]
+                if not near:
+                    near = [(n, at, event)]
+                    anchors.setdefault(tuple(c), []).extend(near)
+                    n += 1
+                found.append(min(near)[2])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3)), pa.array(found, batch.schema.field(2).type)], names=[day, "event_id", "hazard", "cluster_id"])
+
+    made = dealt.mapInArrow(run, T.StructType([*(dealt.schema[c] for c in (day, "event_id", "hazard")), T.StructField("cluster_id", dealt.schema["event_id"].dataType)]))
+    counted = made.groupBy(day, "cluster_id").agg(F.countDistinct("hazard").cast("int").alias("hazards")).where(F.col("hazards") >= least_hazards)
+    return made.join(counted, [day, "cluster_id"]).select(day, "event_id", "cluster_id", "hazards")
 
 
 class Tracker:
@@ -75,14 +138,30 @@ class Tracker:
             return None
         return tuple(sum((s[0] - mt) * (s[k] - m) for s in samples) / spread for k, m in ((1, mx), (2, my)))
 
+    def _near(self, found: list[tuple[float, float, float]]) -> Iterator[tuple[float, int, int]]:
+        """(distance, cell, detection) of those within reach; cells are looked up on a grid as wide as the longest reach."""
+        reach = lambda area: max(self.reach, 0.6 * math.sqrt(max(0.0, area)))
+        wide = max(map(reach, [*(c["area"] for c in self.cells.values()), *(f[2] for f in found)]), default=1.0)
+        grid: dict[tuple[int, int], list[int]] = {}
+        for i, c in self.cells.items():
+            grid.setdefault((c["x"] // wide, c["y"] // wide), []).append(i)
+        for k, (x, y, area) in enumerate(found):
+            for dx, dy in itertools.product((-1, 0, 1), repeat=2):
+                for i in grid.get((x // wide + dx, y // wide + dy), ()):
+                    c = self.cells[i]
+                    away = math.hypot(x - c["x"], y - c["y"])
+                    if away <= reach(max(area, c["area"])):
+                        yield away, i, k
+
     def step(self, t: float, found: list[tuple[float, float, float]], km_per_px: float) -> list[tuple]:
         """(cell, speed, bearing, status) for each detection (x, y, area) of a frame at t seconds."""
-        pairs = sorted((math.hypot(x - c["x"], y - c["y"]), i, k) for i, c in self.cells.items() for k, (x, y, area) in enumerate(found) if math.hypot(x - c["x"], y - c["y"]) <= max(self.reach, 0.6 * math.sqrt(max(area, c["area"]))))
         cell_of: dict[int, int] = {}
-        for _, i, k in pairs:
-            if k not in cell_of and i not in cell_of.values():
+        taken: set[int] = set()
+        for _, i, k in sorted(self._near(found)):
+            if k not in cell_of and i not in taken:
                 cell_of[k] = i
-        for i in [i for i in self.cells if i not in cell_of.values()]:
+                taken.add(i)
+        for i in [i for i in self.cells if i not in taken]:
             self.cells[i]["misses"] += 1
             if self.cells[i]["misses"] > self.patience:
                 del self.cells[i]
@@ -110,36 +189,111 @@ TRACKS = "radar_id string, ts timestamp_ntz, det long, cell long, speed_kmh doub
 
 
 def cell_tracks(detections: DataFrame, km_per_px: float = 1.0) -> DataFrame:
-    """TRACKS of detections (radar_id, ts, det, x, y, area): a radar's frames in order, one radar to a group."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(), []
-        for ts, frame in rows.sort_values(["ts", "det"]).groupby("ts", sort=True):
-            made = tracker.step(ts.timestamp(), list(frame[["x", "y", "area"]].itertuples(index=False, name=None)), km_per_px)
-            out += [(rows.radar_id.iloc[0], ts, int(d), *m) for d, m in zip(frame.det, made, strict=True)]
-        return pd.DataFrame(out, columns=["radar_id", "ts", "det", "cell", "speed_kmh", "bearing", "status"])
+    """TRACKS of detections (radar_id, ts, det, x, y, area): a task walks over a radar's frames in order and holds one at a time.
 
-    return detections.groupBy("radar_id").applyInPandas(run, TRACKS)
+    Detections without a time, a place or an area take no part.
+    """
+    rows = detections.where("ts IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND area IS NOT NULL").select("radar_id", "ts", "det", *[F.col(c).cast("double") for c in ("x", "y", "area")])
+    dealt = rows.repartition("radar_id").sortWithinPartitions("radar_id", "ts", "det")
 
+    def run(batches):
+        import pyarrow as pa
 
-def fuzzy_match(names: DataFrame, gauges: DataFrame, least: float = 0.85) -> DataFrame:
-    """(name, match, confidence, method): equal keys, else all tokens contained, else the most similar key from `least` on.
+        names = ["radar_id", "ts", "det", "cell", "speed_kmh", "bearing", "status"]
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.string()]
+        radar, tracker, held = None, Tracker(), []
+        for frame in runs(batches, 2):
+            if (name := frame.column(0)[0].as_py()) != radar:
+                radar, tracker = name, Tracker()
+            at = frame.column(1)[0].cast(pa.int64()).as_py() / 1e6
+            made = tracker.step(at, list(zip(*(frame.column(k).to_pylist() for k in (3, 4, 5)), strict=True)), km_per_px)
+            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            held.append(pa.table([*(frame.column(k) for k in (0, 1, 2)), *columns], names=names))
+            if sum(t.num_rows for t in held) >= OUT:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, TRACKS)
 
-    names: name, key, tokens; gauges: gauge, g_key, g_tokens. Candidates share a token, so no two names meet by chance.
+
+def _segments(names: DataFrame, least: float) -> DataFrame:
+    """(key, g_length, segment, at): keys cut into segments for each length that a key of the ratio can have.
+
+    A ratio of `least` leaves room for (1 - least) times both lengths insertions and deletions; of one segment more than
+    that, one is untouched.
     """
-    import difflib
+    n = F.length("key")
+    shortest, longest = F.ceil(n * (least / (2 - least)) - 1e-9), F.floor(n * ((2 - least) / least) + 1e-9)
+    rows = names.withColumn("g_length", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)))
+    rows = rows.withColumn("edits", F.floor((n + F.col("g_length")) * (1 - least) + 1e-9))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("edits"))))
+    cut = lambda k: F.floor(k * n / (F.col("edits") + 1))
+    at = cut(F.col("k"))
+    return rows.select("key", F.col("g_length").cast("int").alias("g_length"), F.substr("key", (at + 1).cast("int"), (cut(F.col("k") + 1) - at).cast("int")).alias("segment"), at.cast("int").alias("at"), F.col("edits").cast("int").alias("edits"))
 
-    exact = names.join(gauges, names.key == gauges.g_key).groupBy("name").agg(F.min("gauge").alias("match")).select("name", "match", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
-    rest = names.join(exact.select("name"), "name", "left_anti")
-    pairs = rest.withColumn("token", F.explode(F.array_distinct("tokens"))).join(gauges.withColumn("token", F.explode(F.array_distinct("g_tokens"))), "token").drop("token").dropDuplicates(["name", "gauge"])
-    held = (F.size(F.array_except("tokens", "g_tokens")) == 0) | (F.size(F.array_except("g_tokens", "tokens")) == 0)
+
+def _pieces(keys: DataFrame, most: int) -> DataFrame:
+    """(g_key, g_length, segment, g_at): every substring of up to `most` characters, with its place."""
+    n = F.length("g_key")
+    rows = keys.withColumn("g_at", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("g_at")))))
+    return rows.select("g_key", n.alias("g_length"), F.substr("g_key", F.col("g_at") + 1, F.col("size")).alias("segment"), "g_at")
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the matched characters of two texts by both lengths, as Python's difflib matches them."""
+    import difflib
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def _ratios(names: DataFrame, gauges: DataFrame, least: float) -> DataFrame:
+    """(key, g_key, score) of all pairs of distinct keys with a matching ratio from `least` on."""
+    segments = _segments(names, least)
+    most = math.ceil((2 - least) / (2 * (1 - least)))  # characters of the longest segment, however long keys are
+    pairs = segments.join(_pieces(gauges, most), ["g_length", "segment"]).where(F.abs(F.col("at") - F.col("g_at")) <= F.col("edits"))
+    pairs = pairs.where(F.levenshtein("key", "g_key") <= F.col("edits")).select("key", "g_key").distinct()
+    return pairs.withColumn("score", matching_ratio(F.col("g_key"), F.col("key"))).where(F.col("score") >= least)
+
+
+MATCHED = ["name", "match", "method", "confidence", "score"]
+
+
+def fuzzy_match(names: DataFrame, gauges: DataFrame, least: float = 0.85) -> DataFrame:
+    """(name, match, method, confidence, score): one row for each name that has a match.
+
+    names: name, key, tokens; gauges: gauge, g_key, g_tokens, seq. exact: equal keys. subset: the tokens of one are all
+    in the other, two or more of them, the name's first one included. fuzzy: the key with the greatest matching ratio,
+    from `least` on. Of several gauges the first by seq counts, of several equal ratios the greatest key. Empty and null
+    keys match nothing. Candidates lose no match: those for subsets share the first and another token, those for ratios
+    a segment that insertions and deletions can't have touched.
+    """
+    if not 0.8 <= least < 1:
+        raise ValueError("segments are laid out for ratios of 0.8 and more")
+    names = names.where("key <> ''").select("name", "key", F.array_distinct("tokens").alias("t"), F.col("tokens")[0].alias("first"))
+    keys = gauges.where("g_key <> ''").groupBy("g_key").agg(F.min_by(F.struct("gauge", "seq", F.array_distinct("g_tokens").alias("ts")), "seq").alias("g")).select("g_key", "g.*")
+    asked = names.select("key", "t", "first").dropDuplicates(["key"])
+    exact = asked.join(keys, asked.key == keys.g_key).select("key", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.lit("high").alias("confidence"), F.col("gauge").alias("match"))
+    rest = asked.join(exact, "key", "left_anti")
+
+    both = keys.withColumn("first", F.explode("ts")).withColumn("other", F.explode("ts")).where("first <> other")
+    shared = rest.withColumn("other", F.explode("t")).where("first <> other").join(both, ["first", "other"])
+    held = (F.size(F.array_except("t", "ts")) == 0) | (F.size(F.array_except("ts", "t")) == 0)
+    score = F.round(F.size(F.array_intersect("t", "ts")) / F.size(F.array_union("t", "ts")), 2)
+    subset = shared.where(held).groupBy("key").agg(F.min_by(F.struct(score.alias("score"), "gauge"), "seq").alias("b"))
+    subset = subset.select("key", "b.score", F.lit("subset").alias("method"), F.lit("medium").alias("confidence"), F.col("b.gauge").alias("match"))
 
-    scored = pairs.withColumn("subset", held).withColumn("confidence", F.when(F.col("subset"), 0.9).otherwise(ratio("key", "g_key"))).where(F.col("subset") | (F.col("confidence") >= least))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("gauge", "confidence", "subset"), F.struct("subset", "confidence", "gauge")).alias("b"))
-    return exact.unionByName(best.select("name", F.col("b.gauge").alias("match"), F.col("b.confidence").alias("confidence"), F.when(F.col("b.subset"), "tokens").otherwise("similar").alias("method")))
+    near = _ratios(rest.join(subset, "key", "left_anti").select("key"), keys.select("g_key"), least)
+    near = near.groupBy("key").agg(F.max(F.struct("score", "g_key")).alias("b")).select("key", "b.score", "b.g_key").join(keys.select("g_key", "gauge"), "g_key")
+    near = near.withColumn("score", matching_ratio(F.col("key"), F.col("g_key")))
+    near = near.select("key", F.round("score", 3).alias("score"), F.lit("fuzzy").alias("method"), F.when(F.col("score") >= 0.92, "medium").otherwise("low").alias("confidence"), F.col("gauge").alias("match"))
+    return names.join(exact.unionByName(subset).unionByName(near), "key").select(MATCHED)
 
 
 def detect_cells(frame, levels: list[tuple[int, int, int]], *, detect: int = 3, least: int = 90, tolerance: int = 30) -> Iterator[tuple[float, float, float, int, float]]:
