@@ -5,14 +5,16 @@ import difflib
 import json
 import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, text, times
-from tidewatch.operators import changes, spatial, temporal, trend
-from tidewatch.sources import feeds
+from tidewatch.operators import changes, radar, spatial, temporal, trend
+from tidewatch.sources import feeds, png
 
 T0 = dt.datetime(2026, 8, 11, 12)
 at = lambda m: T0 + dt.timedelta(minutes=m)
@@ -185,12 +187,88 @@ def test_tracker_coasts_and_measures(spark):
     assert t.step(2000.0, [(110.0, 100.0, 50.0)], 1.0)[0][0] == 2
 
 
+def painted(blocks, size=96):
+    frame = np.zeros((size, size, 4), np.uint8)
+    for y, x, h, w, level in blocks:
+        frame[y : y + h, x : x + w] = (*radar.PALETTE[level - 1], 255)
+    return frame
+
+
+def cells_of(blocks, before=None):
+    frame = painted(blocks)
+    return radar.detect_cells(frame[:, :, :3], frame[:, :, 3], 1.0, before)
+
+
 def test_radar_cells():
-    frame = np.zeros((60, 60, 3), np.uint8)
-    frame[10:30, 20:30] = (250, 0, 0)
-    frame[40:42, 5:10] = (250, 0, 0)
-    cells = list(spatial.detect_cells(frame, [(0, 0, 250), (0, 250, 0), (250, 0, 0)]))
-    assert len(cells) == 1 and cells[0][:3] == (24.5, 19.5, 200.0) and cells[0][3] == 3
+    cells = cells_of([(10, 20, 20, 10, 12), (60, 5, 2, 5, 12), (60, 60, 12, 12, 2)])
+    assert len(cells) == 1 and (cells[0]["x"], cells[0]["y"], cells[0]["pixels"], cells[0]["max_level"]) == (24.5, 19.5, 200, 12)
+    assert cells[0]["classification"] == "strong" and cells[0]["intensity_score"] == pytest.approx(4 * 12 + 2.5 * 12 + 200 / 15)
+    near = [(10, 20, 20, 10, 5), (10, 38, 20, 10, 5)]  # eight pixels apart: one cell
+    assert [c["pixels"] for c in cells_of(near)] == [400]
+    apart = [(10, 20, 20, 10, 5), (10, 50, 20, 10, 5)]  # twenty apart: two, unless they were one before
+    assert [c["pixels"] for c in cells_of(apart)] == [200, 200]
+    before = np.zeros((96, 96), np.int32)
+    before[12:28, 22:58] = 7
+    assert [c["pixels"] for c in cells_of(apart, before)] == [400]
+    before[:, 50:] *= 2
+    assert [c["pixels"] for c in cells_of(apart, before)] == [200, 200]
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_label_equals_flood_fill(corners):
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mask = rng.random((17, 23)) < 0.5
+        got, n = radar.label(mask, corners=corners)
+        want, todo, left = {}, [], {tuple(p) for p in np.argwhere(mask).tolist()}
+        while left:
+            todo, number = [left.pop()], len(set(want.values())) + 1
+            while todo:
+                y, x = todo.pop()
+                want[y, x] = number
+                for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1), *([(-1, -1), (-1, 1), (1, -1), (1, 1)] if corners else [])):
+                    if (y + dy, x + dx) in left:
+                        left.discard((y + dy, x + dx))
+                        todo.append((y + dy, x + dx))
+        assert n == len(set(want.values())) and (got > 0).tolist() == mask.tolist()
+        assert len({(want[tuple(p)], got[tuple(p)]) for p in np.argwhere(mask).tolist()}) == n
+
+
+def png_of(kind, depth, rows, extra=b"", filters=None):
+    raw = b"".join(bytes([f]) + r for f, r in zip(filters or [0] * len(rows), rows, strict=True))
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    width = len(rows[0]) * 8 // depth // png.SAMPLES[kind]
+    return png.MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), depth, kind, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_colour_types_and_filters():
+    frame = np.random.default_rng(1).integers(0, 255, (5, 7, 4), np.uint8)
+    colours, alpha = png.decode(png.encode(frame))
+    assert (colours == frame[:, :, :3]).all() and (alpha == frame[:, :, 3]).all()
+    palette = struct.pack(">I", 6) + b"PLTE" + bytes([1, 2, 3, 4, 5, 6]) + b"\0\0\0\0" + struct.pack(">I", 1) + b"tRNS" + b"\x09" + b"\0\0\0\0"
+    colours, alpha = png.decode(png_of(3, 1, [bytes([0b01000001])], palette))
+    assert colours[0, 1].tolist() == [4, 5, 6] and alpha[0].tolist() == [9, 255, 9, 9, 9, 9, 9, 255]
+    colours, alpha = png.decode(png_of(4, 8, [bytes([10, 1, 20, 2])]))
+    assert colours[0].tolist() == [[10] * 3, [20] * 3] and alpha[0].tolist() == [1, 2]
+    grey = [bytes([10, 20, 30]), bytes([1, 1, 1]), bytes([5, 5, 5]), bytes([2, 2, 2]), bytes([1, 0, 3])]
+    rows = png.decode(png_of(0, 8, grey, filters=[0, 1, 2, 3, 4]))[0][:, :, 0].tolist()
+    assert rows == [[10, 20, 30], [1, 2, 3], [6, 7, 8], [5, 8, 10], [6, 8, 13]]
+    assert png.decode(b"no") is None and png.decode(None) is None and png.decode(png.encode(frame)[:60]) is None
+
+
+def test_storm_cells_are_followed(spark):
+    frames = [("IDR023", at(5 * k), png.encode(painted([(40, 10 + 2 * k, 14, 14, 9), (5, 70, 12, 12, 3)], 128))) for k in range(6)]
+    rows = [*frames, ("IDR023", at(60), b"broken"), (None, at(1), frames[0][2]), ("XDR991", at(0), frames[0][2])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], f"radar_id string, ts {NTZ}, image binary, status string")
+    got = radar.storm_cells(df, {"IDR02": (-37.8, 144.8)}).collect()
+    own = sorted((r for r in got if r.radar_id == "IDR023" and r.max_level == 9), key=lambda r: r.ts)
+    assert len(got) == 14 and len({r.cell_id for r in own}) == 1 and [r.status for r in own] == ["new"] + ["tracked"] * 5
+    assert own[-1].bearing_deg == pytest.approx(90, abs=1) and own[-1].speed_kmh == pytest.approx(2 / 5 * 60 * radar.scale_of("IDR023", 128), rel=0.01)
+    ring = json.loads(own[-1].impact_geojson)["geometry"]["coordinates"][0]
+    assert ring[0] == ring[-1] and max(p[0] for p in ring) > own[-1].longitude > min(p[0] for p in ring)
+    assert all(r.impact_geojson is None and r.latitude is None for r in got if r.radar_id == "XDR991")
+    assert {(r.alert_type, r.classification, r.ts) for r in radar.storm_alerts(spark.createDataFrame([("a", "weak", at(0)), ("a", "moderate", at(1)), ("a", "strong", at(2)), ("a", "moderate", at(3)), ("b", "strong", at(0)), ("b", "moderate", at(4))], f"cell_id string, classification string, ts {NTZ}")).collect()} == {("new_cell", "moderate", at(1)), ("escalation", "strong", at(2)), ("new_cell", "strong", at(0))}
+    assert radar.storm_cells(df.limit(0)).count() == 0
 
 
 def test_trend_equals_numpy(spark):

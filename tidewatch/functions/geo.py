@@ -10,7 +10,8 @@ RADIUS_KM = 6371.0
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
 #: Km to a pixel of a radar image by the last digit of its id (range 512, 256, 128, 64 km on 512 pixels).
 KM_PER_PX = {"1": 2.0, "2": 1.0, "3": 0.5, "4": 0.25}
-KM_PER_DEGREE = 111.195
+#: Km to a degree of latitude, and of longitude at the equator, for radar images.
+KM_LAT, KM_LON = 110.574, 111.320
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -27,13 +28,13 @@ def bearing(vx: Column, vy: Column) -> Column:
 
 def km_per_px(radar_id: Column) -> Column:
     pairs = [F.lit(x) for pair in KM_PER_PX.items() for x in pair]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.right(radar_id, F.lit(1))), F.lit(1.0))
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.right(radar_id, F.lit(1))), F.lit(0.5))
 
 
 def pixel_to_latlon(x: Column, y: Column, site_lat: Column, site_lon: Column, scale: Column, size: int = 512) -> Column:
     """struct(latitude, longitude), to five places, of a pixel of an image centred on the site."""
-    lat = site_lat - (y - size / 2) * scale / KM_PER_DEGREE
-    lon = site_lon + (x - size / 2) * scale / (KM_PER_DEGREE * F.cos(F.radians(site_lat)))
+    lat = site_lat - (y - size / 2) * scale / KM_LAT
+    lon = site_lon + (x - size / 2) * scale / (KM_LON * F.cos(F.radians(site_lat)))
     return F.struct(F.round(lat, 5).alias("latitude"), F.round(lon, 5).alias("longitude"))
 
 

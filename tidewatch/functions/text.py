@@ -10,6 +10,9 @@ MISSING = ["", "-", "--", "n/a", "na"]
 #: Words that separate a town from its stream in gauge names, in the order in which they are tried.
 SPLITTERS = [" downstream of ", " upstream of ", " at "]
 
+#: Words of gauge names that say nothing of the place: kinds of water, structures and their abbreviations.
+STOP = ["at", "river", "creek", "ck", "r", "rv", "crk", "cr", "riv", "ri", "lake", "lk", "drain", "channel", "chl", "weir", "br", "bridge", "d", "u", "us", "ds"]
+
 
 def norm_key(c: Column) -> Column:
     """A key as it is compared: outer white space of any kind off, lower case."""

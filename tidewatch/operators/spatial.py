@@ -294,32 +294,3 @@ def fuzzy_match(names: DataFrame, gauges: DataFrame, least: float = 0.85) -> Dat
     near = near.withColumn("score", matching_ratio(F.col("key"), F.col("g_key")))
     near = near.select("key", F.round("score", 3).alias("score"), F.lit("fuzzy").alias("method"), F.when(F.col("score") >= 0.92, "medium").otherwise("low").alias("confidence"), F.col("gauge").alias("match"))
     return names.join(exact.unionByName(subset).unionByName(near), "key").select(MATCHED)
-
-
-def detect_cells(frame, levels: list[tuple[int, int, int]], *, detect: int = 3, least: int = 90, tolerance: int = 30) -> Iterator[tuple[float, float, float, int, float]]:
-    """(x, y, area, highest, mean level) of the echoes of one RGB frame: connected pixels at or above the detection level."""
-    import numpy as np
-
-    level = np.zeros(frame.shape[:2], np.int16)
-    for k, colour in enumerate(levels, 1):
-        level[(np.abs(frame.astype(np.int16) - np.array(colour)) <= tolerance).all(axis=2)] = k
-    mask = level >= detect
-    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), -1)
-    while True:  # the greatest number among neighbours spreads until nothing changes
-        grown = label.copy()
-        for axis in (0, 1):
-            for way in (1, -1):
-                moved = np.roll(label, way, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if way == 1 else -1
-                moved[tuple(edge)] = -1
-                grown = np.maximum(grown, moved)
-        grown = np.where(mask, grown, -1)
-        if (grown == label).all():
-            break
-        label = grown
-    for i in np.unique(label[mask]):
-        ys, xs = np.nonzero(label == i)
-        if len(xs) >= least:
-            weight = level[ys, xs].astype(float)
-            yield float((xs * weight).sum() / weight.sum()), float((ys * weight).sum() / weight.sum()), float(len(xs)), int(weight.max()), float(weight.mean())

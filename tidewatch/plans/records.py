@@ -9,10 +9,11 @@ from pyspark.sql.window import Window
 from tidewatch.functions.classify import duration_bucket, power_level
 from tidewatch.functions.geo import haversine_km
 from tidewatch.functions.hashes import canonical_json, state_hash
-from tidewatch.functions.text import split_type
+from tidewatch.functions.text import STOP, split_type, tokens
 from tidewatch.functions.times import at
-from tidewatch.operators import changes, spatial, temporal
+from tidewatch.operators import changes, radar, spatial, temporal
 from tidewatch.plans.registry import ORDERS_AS_OF, journal, observations, outages, place, query, table
+from tidewatch.sources import png
 
 T = "TIMESTAMP '1997-01-01 00:00:00'"
 STATE = f", s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, entity_key ORDER BY effective_ts DESC, seq DESC) AS k FROM journal WHERE effective_ts <= {T}) WHERE k = 1) "
@@ -243,3 +244,43 @@ def cell_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     frame = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     return spatial.cell_tracks(rows.select(F.col("catchment").alias("radar_id"), frame.alias("ts"), F.col("seq").alias("det"), (F.col("station") * 3.0).alias("x"), F.col("height").alias("y"), (F.col("height") * 2).alias("area")))
+
+
+@query()
+def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, each with a character lost and some with a word more, matched with the names as they are."""
+    part = table(spark, sf_dir, "part").where("p_name IS NOT NULL").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("n"))
+    at = F.pmod(F.col("k"), F.length("n")).cast("int")
+    lossy = F.concat(F.left("n", at), F.substr("n", at + 2))
+    named = part.select(F.col("k").cast("string").alias("name"), F.when(F.col("k") % 3 == 0, F.concat("n", F.lit(" end"))).when(F.col("k") % 5 == 0, F.col("n")).otherwise(lossy).alias("n"))
+    names = named.select("name", F.array_join(tokens(F.col("n"), STOP), " ").alias("key"), tokens(F.col("n"), STOP).alias("tokens"))
+    gauges = part.select(F.col("n").alias("gauge"), F.array_join(tokens(F.col("n"), STOP), " ").alias("g_key"), tokens(F.col("n"), STOP).alias("g_tokens"), F.col("k").alias("seq"))
+    return spatial.fuzzy_match(names, gauges)
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up radar frames: a radar's readings of six hours, painted as squares."""
+    six = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21_600) * 21_600).cast("timestamp_ntz")
+    dot = F.struct(F.pmod(F.col("station") * 7, F.lit(110)).cast("int").alias("x"), F.pmod(F.col("seq") * 13, F.lit(110)).cast("int").alias("y"), F.least(F.lit(15), F.greatest(F.lit(1), F.ceil(F.col("height") / 10))).cast("int").alias("level"))
+    rows = observations(spark, sf_dir).where("height IS NOT NULL").groupBy(F.col("catchment").alias("radar_id"), six.alias("ts")).agg(F.sort_array(F.collect_list(dot)).alias("dots"))
+
+    def paint(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            images = []
+            for dots in batch.column(2).to_pylist():
+                frame = np.zeros((128, 128, 4), np.uint8)
+                for d in dots:
+                    frame[d["y"] : d["y"] + 14, d["x"] : d["x"] + 14] = (*radar.PALETTE[d["level"] - 1], 255)
+                images.append(png.encode(frame))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(images, pa.binary())], names=["radar_id", "ts", "image"])
+
+    return rows.mapInArrow(paint, "radar_id string, ts timestamp_ntz, image binary")
+
+
+@query()
+def radar_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of painted frames, with their tracks and what they will reach."""
+    return radar.storm_cells(_frames(spark, sf_dir), {"click": (-37.8, 144.8)})
