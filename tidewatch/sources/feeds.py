@@ -23,15 +23,18 @@ class _Rows(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list[dict]] = []
+        self.tables: list[int] = []
+        self.table = 0
         self.cell: dict | None = None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("tr", "li"):
+        if tag == "table":
+            self.table += 1
+        if tag in ("tr", "li") or (tag in ("td", "th") and not self.rows):
             self.rows.append([])
+            self.tables.append(self.table)
         if tag in ("td", "th", "li"):
-            if not self.rows:
-                self.rows.append([])
             self.cell = {"tag": tag, "headers": a.get("headers"), "href": None, "text": ""}
             self.rows[-1].append(self.cell)
         elif tag == "a" and self.cell is not None:
@@ -50,7 +53,7 @@ CELLS = "array<struct<tag:string,headers:string,href:string,text:string>>"
 
 
 def html_rows(pages: DataFrame, id: str, html: str) -> DataFrame:
-    """(id, row, cells): every table row and list item of every page; null pages have none."""
+    """(id, table, row, cells): every table row and list item of every page, with the number of the table last begun; null pages have none."""
     import pyarrow as pa
 
     source = pages.select(F.col(id).cast("string").alias("id"), F.col(html).alias("html"))
@@ -58,17 +61,18 @@ def html_rows(pages: DataFrame, id: str, html: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, ks, cells = [], [], []
+            ids, tables, ks, cells = [], [], [], []
             for i, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parser = _Rows()
                 parser.feed(page or "")
-                for k, row in enumerate(r for r in parser.rows if r):
+                for k, (t, row) in enumerate((t, r) for t, r in zip(parser.tables, parser.rows, strict=True) if r):
                     ids.append(i)
+                    tables.append(t)
                     ks.append(k)
                     cells.append([{**c, "text": " ".join(c["text"].split())} for c in row])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ks, pa.int32()), pa.array(cells, pa.list_(cell))], names=["id", "row", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(tables, pa.int32()), pa.array(ks, pa.int32()), pa.array(cells, pa.list_(cell))], names=["id", "table", "row", "cells"])
 
-    return source.mapInArrow(run, f"id string, row int, cells {CELLS}")
+    return source.mapInArrow(run, f"id string, table int, row int, cells {CELLS}")
 
 
 def weather_rows(pages: DataFrame, now: Column, *, id: str = "page_id", html: str = "html") -> DataFrame:
@@ -114,6 +118,98 @@ def gauge_rows(pages: DataFrame, now: Column, *, id: str = "page_id", html: str
     return data.select(F.col("id").alias("page"), "catchment", text.clean(at(0)).alias("station_name"), text.to_double(text.clean(at(3))).alias("height_m"), text.clean(at(5)).alias("tendency"), text.clean(at(7)).alias("classification"), times.weekday_time(at(2), now).alias("timestamp")).where("station_name IS NOT NULL")
 
 
+def history_rows(pages: DataFrame, *, id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, timestamp, height_m) of a gauge's history page: its first table of five rows or more whose header speaks of a date.
+
+    Rows without a time or a height are left out.
+    """
+    rows = html_rows(pages, id, html).where("table > 0")
+    words = F.lower(F.array_join(F.transform("cells", lambda c: c["text"]), " "))
+    tables = rows.groupBy("id", "table").agg(F.count("*").alias("n"), F.min_by(words, "row").alias("header"), F.min("row").alias("first")).where("n >= 5 AND header LIKE '%date%'")
+    chosen = tables.groupBy("id").agg(F.min_by(F.struct("table", "first"), "table").alias("t")).select("id", "t.*")
+    data = rows.join(chosen, ["id", "table"]).where("row > first AND size(cells) >= 2")
+    data = data.select(F.col("id").alias("page"), times.history_time(F.col("cells")[0]["text"]).alias("timestamp"), text.to_double(text.clean(F.col("cells")[1]["text"])).alias("height_m"))
+    return data.where("timestamp IS NOT NULL AND height_m IS NOT NULL")
+
+
+def read_pages(spark: SparkSession, path: str, properties: str, *, limit: int = 0) -> DataFrame:
+    """Features of a feed kept as one file for each page (a number in its name), as far as the feed goes.
+
+    Without a limit a page is the whole feed, so the first counts. Else pages count up to the total their envelope
+    names, or up to the first that holds fewer than `limit` features.
+    """
+    feature = f"struct<properties:{properties},geometry:string>"
+    raw = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), "(\\d+)", 1).try_cast("int").alias("page")).where("page IS NOT NULL")
+    inner = F.from_json("value", f"meta struct<total_pages:int>, features array<{feature}>, data struct<features:array<{feature}>>")
+    pages = raw.select("page", F.coalesce(inner["data"]["features"], inner["features"], F.from_json("value", f"array<{feature}>")).alias("features"), inner["meta"]["total_pages"].alias("total"))
+    last = F.least(F.min(F.when(F.col("total") > 0, F.col("total"))), F.min(F.when(F.coalesce("total", F.lit(0)) == 0, F.when(F.size("features") < limit, F.col("page"))))) if limit > 0 else F.min("page")
+    upto = pages.agg(F.coalesce(last, F.max("page")).alias("last"))
+    return pages.crossJoin(F.broadcast(upto)).where("page <= last").select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+
+
+WEATHER = "id string, type string, title string, short_title string, warning_group_type string, phase string, state string, issue_time string, expiry_time string"
+
+
+def weather_warnings(rows: DataFrame, state: str, json: str = "value") -> DataFrame:
+    """One row for each warning of a state in documents with a `data` list; times are local."""
+    w = rows.select(F.explode(F.from_json(json, f"data array<struct<{', '.join(f.replace(' ', ':') for f in WEATHER.split(', '))}>>")["data"]).alias("w")).select("w.*")
+    w = w.where((F.col("state") == state) & text.blank_to_null(F.col("id")).isNotNull())
+    return w.select(F.col("id").alias("warning_id"), "type", "title", "short_title", F.col("warning_group_type").alias("group_type"), "phase", "state", times.iso_to_local(F.col("issue_time")).alias("issue_time"), times.iso_to_local(F.col("expiry_time")).alias("expiry_time"))
+
+
+def warning_versions(details: DataFrame, json: str = "value") -> DataFrame:
+    """(warning_id, issue_time, phase, title, message): a version for each detail document with an issue time, once each."""
+    d = F.from_json(json, "data struct<id:string,issue_time:string,phase:string,title:string,message:string>")["data"]
+    rows = details.select(d.alias("d")).select(F.col("d.id").alias("warning_id"), times.iso_to_local(F.col("d.issue_time")).alias("issue_time"), "d.phase", "d.title", "d.message")
+    return rows.where("warning_id IS NOT NULL AND issue_time IS NOT NULL").groupBy("warning_id", "issue_time").agg(F.min(F.struct("phase", "title", "message")).alias("v")).select("warning_id", "issue_time", "v.*")
+
+
+def rain_polls(observed: DataFrame, forecast: DataFrame, json: str = "value") -> DataFrame:
+    """(location_key, rain_since_9am_mm, forecast_max_mm, forecast_chance) of documents by location: what fell, and the first day's forecast."""
+    a = observed.select("location_key", F.from_json(json, "data struct<rain_since_9am:double>")["data"]["rain_since_9am"].alias("rain_since_9am_mm"))
+    day = F.try_element_at(F.from_json(json, "data array<struct<rain:struct<amount:struct<max:double>,chance:double>>>")["data"], F.lit(1))["rain"]
+    b = forecast.select("location_key", day["amount"]["max"].alias("forecast_max_mm"), day["chance"].alias("forecast_chance"))
+    return a.join(b, "location_key", "full_outer")
+
+
+def unknown_stations(seen: DataFrame, known: DataFrame, key: str, *, most: int = 25) -> DataFrame:
+    """Keys without stored coordinates, in order, as many as one cycle asks for."""
+    return seen.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti").orderBy(key).limit(most)
+
+
+def new_frames(listed: DataFrame, stored: DataFrame, now: Column, *, minutes: int = 16) -> DataFrame:
+    """Frames (radar_id, frame_ts) of the last minutes that aren't stored yet."""
+    recent = listed.where(F.col("frame_ts").between(now - F.make_dt_interval(mins=F.lit(minutes)), now))
+    return recent.join(stored.select("radar_id", "frame_ts"), ["radar_id", "frame_ts"], "left_anti")
+
+
+def flood_csv(spark: SparkSession, path: str, names: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """read_csv's rows with an event: the file's own column, or the file's name without its ending."""
+    raw = spark.read.csv(path, header=True, inferSchema=False).select("*", F.regexp_replace(text.unquote_path(F.col("_metadata.file_name")), "\\.[^.]*$", "").alias("_file")).withColumnsRenamed(names)
+    event = F.coalesce(text.blank_to_null(F.col("event")), F.col("_file")) if "event" in raw.columns else F.col("_file")
+    return raw.select(*[(F.col(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items() if c != "event"], event.alias("event"))
+
+
+def outage_csv(rows: DataFrame) -> DataFrame:
+    """(location, customers_off, type, first_seen, last_seen, restored) of a tracker's CSV; restored is 1 for true and 1."""
+    on = F.coalesce(F.lower(F.trim("restored")).isin("true", "1", "yes"), F.lit(False)).cast("int")
+    stamp = lambda c: times.parse(F.col(c), "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm").alias(c)
+    return rows.select(text.blank_to_null(F.col("location")).alias("location"), text.to_int(F.col("customers_off")).alias("customers_off"), "type", stamp("first_seen"), stamp("last_seen"), on.alias("restored")).where("location IS NOT NULL")
+
+
+def gauge_places(rows: DataFrame, json: str = "value") -> DataFrame:
+    """(station_key, latitude, longitude, confidence, method) of a JSON map of gauges; those without coordinates go."""
+    g = rows.select(F.explode(F.from_json(json, "map<string,struct<latitude:double,longitude:double,confidence:string,method:string>>")).alias("k", "g"))
+    return g.select(text.norm_key(F.col("k")).alias("station_key"), "g.*").where("latitude IS NOT NULL AND longitude IS NOT NULL")
+
+
+def station_list(rows: DataFrame, box: tuple[float, float, float, float], json: str = "value") -> DataFrame:
+    """(station_no, station_name, latitude, longitude) of a JSON array of arrays, inside a box (south, north, west, east); a heading row doesn't parse and goes."""
+    r = rows.select(F.explode(F.from_json(json, "array<array<string>>")).alias("r")).where(F.size("r") >= 4)
+    r = r.select(F.col("r")[0].alias("station_no"), F.col("r")[1].alias("station_name"), text.to_double(F.col("r")[2]).alias("latitude"), text.to_double(F.col("r")[3]).alias("longitude"))
+    return r.where(F.col("latitude").between(*box[:2]) & F.col("longitude").between(*box[2:]))
+
+
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of GeoJSON files (also gzipped): an envelope with data, a FeatureCollection or a bare list."""
     feature = f"struct<properties:{properties},geometry:string>"
