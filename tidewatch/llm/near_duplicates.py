@@ -22,15 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, components, materialise, runs, slices, words_of
+from tidewatch.functions.runs import runs
+from tidewatch.llm.common import components, materialise, slices
 
 BANDS, ROWS = 32, 4
 #: Equal bytes of two sketches below which a pair of similarity 0.8 is out of reach (under 1e-10 of them).
 SKETCH = 72
 #: Documents and shingles of a group that one task compares; larger groups are cut into blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
-WORDS = 600_000
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,25 +40,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Numbers that stand for bytes, the same for A-Z and a-z, and the bytes that aren't in words.
+LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * ODD)
+LETTERS[ord("A") : ord("Z") + 1] = LETTERS[ord("a") : ord("z") + 1]
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Powers of an odd base and of its inverse: enough for the bytes that are hashed at a time.
+BYTES = 1 << 16
+BASE = 0x9E3779B97F4A7C15
+
+
 @lru_cache(maxsize=1)
-def _word_hash() -> Memo:
-    import xxhash
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2^64."""
+    both = (np.full(n, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(x[1:])]) for x in both)
 
-    return Memo(lambda word: xxhash.xxh64_intdigest(word.translate(LOWER).encode()), WORDS)
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word in UTF-8 bytes, A-Z lower-cased.
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams, A-Z lower-cased; with fewer words, of all of them as one."""
-    words = words_of(text or "")
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash().__getitem__, words), np.uint64, len(words))
-    width = min(size, len(h))
+    A word's hash is a polynomial in BASE, taken from running sums over the bytes; the bytes are cut where words end.
+    """
+    starts, hashes = [], []
+    at = 0
+    while at < len(data):
+        end = at + BYTES
+        if end < len(data):
+            gaps = np.flatnonzero(BLANK[data[at:end]])
+            while not len(gaps) and end < len(data):  # a word that is longer than that
+                end += BYTES
+                gaps = np.flatnonzero(BLANK[data[end - BYTES : end]]) + (end - BYTES - at)
+            end = at + int(gaps[-1]) + 1 if len(gaps) else len(data)
+        block = data[at:end]
+        edges = np.flatnonzero(np.diff(BLANK[block], prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]
+        up, down = (x[: len(block)] for x in _powers(max(BYTES, 1 << (len(block) - 1).bit_length())))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[block] * up)])
+        hashes.append(_mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        starts.append(first + at)
+        at = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def _joined(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
     n = len(h) - width + 1
     out = np.full(n, np.uint64(width))
     for k in range(width):
         out = out * ODD + h[k : k + n]
-    return np.unique(_mix(out))
+    return _mix(out)
+
+
+def shingle_sets(texts, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text of an Arrow array, A-Z lower-cased.
+
+    A text with fewer words than `size` has them all as one; null texts and those without words have an empty set.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), "\n")[0].as_buffer(), np.uint8)
+    starts, h = word_hashes(data)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1)
+    cuts = np.concatenate([[0], np.searchsorted(starts, ends)]).tolist()
+    joined = _joined(h, size) if len(h) >= size else h
+    short = lambda a, b: _joined(h[a:b], b - a) if a < b else h[a:b]
+    return [np.unique(joined[a : b - size + 1]) if b - a >= size else short(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
@@ -97,7 +144,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingles(x, size) for x in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1), size)
             full = [k for k, s in enumerate(sets) if len(s)]
             digest, bands, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
@@ -201,7 +248,7 @@ def _confirmed(dealt: DataFrame, size: int, percent: int, id_type: str) -> DataF
 
     def run(batches):
         for group in runs(slices(batches), 2):
-            found = [(i, s) for i, x in zip(group.column(2).to_pylist(), group.column(3).to_pylist(), strict=True) if len(s := shingles(x, size))]
+            found = [(i, s) for i, s in zip(group.column(2).to_pylist(), shingle_sets(group.column(3).combine_chunks(), size), strict=True) if len(s)]
             ids, sets = [i for i, _ in found], [s for _, s in found]
             edges = set_forest(sets, percent) if len(sets) > 1 else []
             if edges:
@@ -217,8 +264,10 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, id_type: s
     groups = groups.join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id")
     sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     groups = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("mark"))
     texts = materialise(texts.join(groups.select("id", "group", "block", "parts"), "id"), "candidates")
+    # repeated rows meet in the map tasks first, so a row that came very often doesn't fill a part; other texts of its id stay
+    texts = materialise(texts.dropDuplicates(["id", "mark"]), "candidates-once")
     # each block with itself and with block 0; a group of one block is settled by that
     near = texts.withColumn("part", F.explode(F.expr("if(block = 0, sequence(0, parts - 1), array(block))")))
     links = materialise(_confirmed(near, size, percent, id_type), "links")
@@ -233,7 +282,8 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, id_type: s
             other = rest.join(count, "group").withColumn("heap", F.pmod(F.xxhash64("id", F.lit(1)), "heaps").cast("int"))
             mine = texts.join(other.select("id", "heap"), "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
             all_ = texts.join(count, "group").withColumn("heap", F.explode(F.expr("sequence(0, heaps - 1)"))).withColumn("other", F.col("block"))
-            both = mine.select("group", "heap", "other", "id", "text").unionByName(all_.select("group", "heap", "other", "id", "text")).dropDuplicates(["group", "heap", "other", "id"])
+            columns = ["group", "heap", "other", "id", "mark", "text"]
+            both = mine.select(columns).unionByName(all_.select(columns)).dropDuplicates(columns[:-1])
             both = both.withColumn("part", F.concat_ws("/", "heap", "other"))
             links = links.union(_confirmed(both, size, percent, id_type))
     return components(links)
