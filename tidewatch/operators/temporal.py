@@ -34,19 +34,30 @@ def change_times(journal: DataFrame, start: Column, end: Column) -> DataFrame:
     return states_between(journal, start, end).select("effective_ts").distinct()
 
 
-def asof_series(instants: DataFrame, series: DataFrame, *, at: str = "at", ts: str = "ts", order: list[str] | None = None, max_age_s: int = 21_600) -> DataFrame:
+def asof_series(instants: DataFrame, series: DataFrame, *, at: str = "at", ts: str = "ts", order: list[str] | None = None, max_age_s: int = 21_600, bins: int = 64) -> DataFrame:
     """instants with the last row of the series at or before each, not older than max_age_s; nulls where there is none.
 
-    An instant looks into the bucket of its own time and the one before; buckets are as long as the greatest age.
+    Time is cut into bins, `bins` of them to the greatest age. An instant takes the last row before it in its own bin, by
+    a window over both; without one it looks at the last rows of the bins before, one row to each. Nothing meets in
+    pairs, so neither dense series nor many instants multiply.
     """
     order = order or [ts]
     rest = [c for c in series.columns if c not in instants.columns]
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (max_age_s * 1_000_000))
-    asked = instants.withColumn("_bucket", F.explode(F.array(bucket(at), bucket(at) - 1)))
-    held = series.select(*[F.col(c).alias(f"_s_{c}") for c in series.columns]).withColumn("_bucket", bucket(f"_s_{ts}"))
-    pairs = asked.join(held, "_bucket").where((F.col(f"_s_{ts}") <= F.col(at)) & (F.col(f"_s_{ts}") >= F.col(at) - F.make_dt_interval(secs=F.lit(max_age_s))))
-    found = pairs.groupBy(at).agg(F.max_by(F.struct(*[F.col(f"_s_{c}").alias(c) for c in rest]), F.struct(*[f"_s_{c}" for c in order])).alias("_row"))
-    return instants.join(found, at, "left").select(*instants.columns, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    width = max_age_s * 1_000_000 // bins
+    bin_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
+    row = F.struct(F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)]).alias("order"), F.col(ts).alias("ts"), F.struct(*rest).alias("values"))
+    held = series.where(F.col(ts).isNotNull()).select(bin_of(ts).alias("_bin"), F.col(ts).alias("_at"), row.alias("_row"))
+    asked = instants.where(F.col(at).isNotNull()).select(bin_of(at).alias("_bin"), F.col(at).alias("_at")).distinct()
+    none = F.lit(None).cast(held.schema["_row"].dataType)
+    inside = Window.partitionBy("_bin").orderBy(F.col("_at"), F.col("_row.order").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = held.withColumn("_asks", F.lit(False)).unionByName(asked.withColumns({"_row": none, "_asks": F.lit(True)}))
+    own = both.withColumn("_found", F.last("_row", ignorenulls=True).over(inside)).where("_asks").select("_bin", "_at", "_found")
+    tops = held.groupBy("_bin").agg(F.max_by("_row", "_row.order").alias("_top"))
+    before = own.where("_found IS NULL").select("_at", F.explode(F.sequence(F.col("_bin") - bins - 1, F.col("_bin") - 1)).alias("_bin")).join(tops, "_bin")
+    before = before.groupBy("_at").agg(F.max_by("_top", "_top.order").alias("_found"))
+    found = own.where("_found IS NOT NULL").select("_at", "_found").unionByName(before)
+    found = found.where(F.col("_found.ts") >= F.col("_at") - F.make_dt_interval(secs=F.lit(max_age_s))).select(F.col("_at").alias(at), F.col("_found.values").alias("_values"))
+    return instants.join(found, at, "left").select(*instants.columns, *[F.col(f"_values.{c}").alias(c) for c in rest])
 
 
 def with_previous(df: DataFrame, keys: list[str], ts: str, seq: str, values: list[str]) -> DataFrame:
