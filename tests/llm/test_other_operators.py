@@ -146,6 +146,23 @@ def test_vector_search_recall_and_order(spark, sf):
     assert np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
 
 
+def test_vector_search_recall_beyond_the_sample_and_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "SAMPLE", 400)  # rows that are learned from, of 6000
+    monkeypatch.setattr(vector_search, "ROWS", 700)  # so each class of length has several blocks
+    monkeypatch.setattr(vector_search, "QUERIES", 64)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(80, 64))
+    m = centres[rng.integers(0, 80, 6000)] + 0.6 * rng.normal(size=(6000, 64))
+    m *= np.exp(0.4 * rng.normal(size=(6000, 1)))
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(m)]
+    got = defaultdict(list)
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20, every=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute_nearest(rows, 20, 20)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_vector_search_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (21, [1.0, 1.0]), (22, [0.0, 0.0]), (23, None), (24, [None, 1.0]), (25, [float("nan"), 1.0]), (None, [1.0, 1.0]), (26, [float("inf"), 0.0]), (27, [1.0, 1.0])]
     out = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20, every=20).orderBy("query_id", "rank").collect()

@@ -157,6 +157,35 @@ def test_near_duplicates_chains_and_large_groups(spark, size, monkeypatch):
     assert got == brute_components(docs, size)
 
 
+def test_near_duplicates_of_repeated_ids_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    rng = random.Random(8)
+    now = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    chain = []
+    for k in range(90):
+        now = list(now)
+        now[(7 * k) % 100] = f"c{k}"
+        chain.append(" ".join(now))
+    docs = [(k, t) for k, t in enumerate(chain) if not 40 <= k < 50]  # two halves that nothing but document 200 links
+    docs += [(200, chain[39] + " x"), (200, chain[50] + " x"), (200, chain[50] + " x"), *[(30, chain[30])] * 40]
+    rng.shuffle(docs)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs_of_pairs(spark, docs), size=4).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_components(sorted(set(docs)), 4).items()} and set(got.values()) == {0}
+
+
+def test_shingles_equal_brute_force():
+    import pyarrow as pa
+
+    texts = [*ODD, None, "x" * 200_000 + " y  z " + "q" * 70_000, " One  TWO\nthree\x0bfour five", "one two three four", "É é", "é É", "a\x1cb \x85 c d e f", "Word " * 30_000]
+    words = [[re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] for t in texts]
+    for size in (1, 4, 5):
+        want = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()} for w in words]
+        got = near_duplicates.shingle_sets(pa.array(texts, pa.string()), size)
+        for (a, x), (b, y) in itertools.combinations(zip(want, map(set, got), strict=True), 2):
+            assert len(a) == len(x) and len(b) == len(y) and len(a & b) == len(x & y)
+    assert near_duplicates.shingle_sets(pa.array([], pa.string()), 4) == []
+
+
 def docs_of_pairs(spark, docs):
     return spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, component string")
 
@@ -209,6 +238,21 @@ def test_token_counts_equal_library(spark, sf, tmp_path):
     assert token_counts.read_cache(spark, cache).count() == before
 
 
+def test_word_counts_equal_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    letters = "abABéÉçÇñßÞ×÷ \n'st<|>endoftext12½²_.,-\0\x1c\x85\xa0İǅﬁ漢😀e\u0301"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(5000)] + ["x<|startoftext|>y", "it's", "Caffé's", None, "", " \t"]
+    texts += ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 14))) for _ in range(5000)] + ["a" * 3000]
+    t = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    counter = token_counts.Counter(f"{TOKENIZERS}/word_bpe_49k.json")
+    assert counter.words is not None and token_counts.Counter(f"{TOKENIZERS}/byte_bpe_50k.json").words is None
+    assert counter.count(pa.array(texts)).tolist() == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert counter.count(pa.array([], pa.string())).tolist() == []
+
+
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_odd_texts(spark, tmp_path, file):
     texts = [*ODD, "<|startoftext|>Hello<|endoftext|> <|startoftext|>", "a\x0bb\x1dc d", "İstanbul ǅ ﬁ", *ODD]

@@ -44,11 +44,6 @@ def clean_scratch(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns; those of df with the same names are replaced."""
-    return df.withColumns(columns)
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for a null text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
@@ -73,11 +68,12 @@ class Memo(dict):
         return found
 
 
-def slices(batches, rows: int = 512):
-    """Cut Arrow record batches into smaller ones, so that what is made from one stays small."""
+def slices(batches, rows: int = 512, size: int | None = None):
+    """Cut Arrow record batches into smaller ones of so many rows, or of about so many bytes, so that what is made from one stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        step = rows if size is None else min(rows, max(1, size * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
@@ -108,21 +104,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels.where("component <> before").isEmpty():
             return labels.select("id", "component")
         labels = labels.drop("before")
-
-
-def runs(batches, keys: int):
-    """Rows of sorted batches as lists of columns, one for each run of equal values in the first `keys` columns."""
-    import pyarrow as pa
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        values = list(zip(*[table.column(k).to_pylist() for k in range(keys)], strict=True))
-        cuts = [0, *[k for k in range(1, len(values)) if values[k] != values[k - 1]]]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            yield table.slice(start, end - start)
-        held = table.slice(cuts[-1])
-    if held is not None:
-        yield held
