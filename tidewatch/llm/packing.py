@@ -16,7 +16,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialise, n_words, runs
+from tidewatch.functions.runs import runs
+from tidewatch.llm.common import materialise, n_words
 from tidewatch.llm.near_duplicates import near_duplicates
 from tidewatch.llm.token_counts import with_counts
 
@@ -48,17 +49,20 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def sized_and_grouped(docs: DataFrame, tokenizer: str, *, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+def sized_and_grouped(docs: DataFrame, tokenizer: str, *, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_tokens and cluster instead of the text: its tokens, and the digest that names its near-duplicates.
 
-    Links are between texts, not ids: documents are linked by their texts' digests, so equal texts are of one cluster
-    whatever their ids, and a null text has none. The rows are written once in the shared folder.
+    What is linked is texts: every document goes by a few bytes of its id's digest and its text's digest, so a third of
+    all rows with one text are many keys, a repeated row is one, and null ids do no harm. A null text has no cluster.
+    The rows are written once in the shared folder.
     """
-    digested = docs.withColumn("cluster", F.unhex(F.md5(F.col(text))))
-    linked = near_duplicates(digested.where(F.col(text).isNotNull()), size=size, percent=percent, id="cluster", text=text)
-    copies = linked.where("NOT kept").groupBy("doc_id").agg(F.min("component_id").alias("_first"))
-    sized = materialise(with_counts(digested, tokenizer, text=text), "sized")
-    sized = sized.join(materialise(copies.withColumnRenamed("doc_id", "cluster"), "copies"), "cluster", "left")
+    digest = F.md5(F.col(text))
+    key = F.unhex(F.concat(F.left(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), F.lit(8)), digest))
+    linked = near_duplicates(docs.where(F.col(text).isNotNull()).select(key.alias("key"), text), size=size, percent=percent, id="key", text=text)
+    of = lambda c: F.substring(c, 5, 16)
+    copies = linked.where("NOT kept").groupBy(of("doc_id").alias("cluster")).agg(F.min(of("component_id")).alias("_first")).where("cluster <> _first")
+    sized = materialise(with_counts(docs.withColumn("cluster", F.unhex(digest)), tokenizer, text=text), "sized")
+    sized = sized.join(materialise(copies, "copies"), "cluster", "left")
     return sized.withColumn("cluster", F.coalesce("_first", "cluster")).drop("_first")
 
 
