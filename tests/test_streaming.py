@@ -1,7 +1,12 @@
 """Streams give what batches give."""
 
+import datetime as dt
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from tidewatch.operators import spatial
 from tidewatch.operators.changes import journal_rows
 from tidewatch.streaming import jobs
 
@@ -44,3 +49,63 @@ def test_suppression(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = memory(jobs.suppress_repeats(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "suppressed", tmp_path)
     assert sorted(r.ts.strftime("%H:%M") for r in got.collect()) == ["10:00", "10:50", "12:00"]
+
+
+def polls(spark, tmp_path, schema, batches):
+    """A stream with one file, and so one batch, for each poll."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "polls"))
+        time.sleep(0.05)
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "polls"))
+
+
+def test_journal_of_polls(spark, tmp_path):
+    t = [dt.datetime(2026, 8, 11, 12, 5 * k) for k in range(4)]
+    row = lambda k, key, state: ("fire", key, t[k], state, f"h-{state}", 10 * k)
+    batches = [[row(0, "a", "x"), row(0, "b", "x")], [row(1, "a", "x"), row(1, "b", "y")], [row(2, "b", "y")], [row(3, "a", "x"), row(3, "b", "y")]]
+    schema = "source string, entity_key string, effective_ts timestamp_ntz, state string, state_hash string, seq long"
+    stream, out = polls(spark, tmp_path, schema, batches), str(tmp_path / "journal")
+    write = jobs.write_changes(out, tombstone_time="recorded")
+    jobs.run_batches(stream, write, str(tmp_path / "c")).awaitTermination(120)
+    rows = lambda: sorted((r.entity_key, r.effective_ts, r.state, r.active) for r in spark.read.parquet(out).collect())
+    want = [("a", t[0], "x", 1), ("a", t[2], "x", 0), ("a", t[3], "x", 1), ("b", t[0], "x", 1), ("b", t[1], "y", 1)]
+    assert rows() == want
+    write(spark.createDataFrame(batches[3], schema), 3)  # a retried batch
+    assert rows() == want
+
+
+def test_merged_polls_and_alerts(spark, tmp_path):
+    t = [dt.datetime(2026, 8, 11, 12, 5 * k) for k in range(4)]
+    batches = [[("a", 2, t[0]), ("b", 3, t[0])], [("a", 1, t[1])], [("a", 1, t[2]), ("b", 3, t[2]), ("c", 2, t[2])]]
+    schema = "id string, level int, seen timestamp_ntz"
+    stream, table, alerts = polls(spark, tmp_path, schema, batches), str(tmp_path / "table"), str(tmp_path / "alerts")
+    write = jobs.merge_polls(table, "id", "seen", alerts=alerts, priority="level")
+    jobs.run_batches(stream, write, str(tmp_path / "c")).awaitTermination(120)
+    full = f"{schema}, first_seen timestamp_ntz, last_seen timestamp_ntz, resolved int"
+    rows = lambda before=None: sorted((r.id, r.level, r.first_seen, r.last_seen, r.resolved) for r in jobs.current(spark, table, full, before=before).collect())
+    assert jobs.versions(spark, table) == [0, 1, 2]
+    assert rows(2) == [("a", 1, t[0], t[1], 0), ("b", 3, t[0], t[1], 1)]
+    assert rows() == [("a", 1, t[0], t[2], 0), ("b", 3, t[0], t[2], 0), ("c", 2, t[2], t[2], 0)]
+    told = lambda v: sorted((r.id, r.change) for r in spark.read.parquet(f"{alerts}/v={v}").collect())
+    assert [told(v) for v in range(3)] == [[("a", "new"), ("b", "new")], [("a", "escalated"), ("b", "cleared")], [("b", "new"), ("c", "new")]]
+    write(spark.createDataFrame(batches[2], schema), 2)  # a retried batch
+    assert rows()[0] == ("a", 1, t[0], t[2], 0) and told(2) == [("b", "new"), ("c", "new")]
+    write(spark.createDataFrame([], schema), 3)  # a feed that failed resolves nothing
+    assert [r[4] for r in rows()] == [0, 0, 0]
+
+
+def test_cells_followed_equal_batch(spark, tmp_path):
+    rng = random.Random(3)
+    t0 = dt.datetime(2026, 8, 11, 12)
+    frames = [[(radar, t0 + dt.timedelta(minutes=10 * k), 10 * k + d, 60.0 * d + 3 * k + rng.random(), 40.0, 30.0) for radar in "ab" for d in range(3)] for k in range(4)]
+    schema = "radar_id string, ts timestamp_ntz, det long, x double, y double, area double"
+    stream = polls(spark, tmp_path, schema, frames)
+    facts = lambda df: sorted((r.radar_id, r.det, r.cell, r.speed_kmh and round(r.speed_kmh, 6), r.status) for r in df.collect())
+    assert facts(memory(jobs.follow_cells(stream), "cells", tmp_path)) == facts(spatial.cell_tracks(spark.createDataFrame(sum(frames, []), schema)))
+
+
+def test_cell_alerts(spark, tmp_path):
+    t = [dt.datetime(2026, 8, 11, 12, 5 * k) for k in range(4)]
+    batches = [[("a", t[0], "weak"), ("b", t[0], "strong")], [("a", t[1], "moderate"), ("b", t[1], "moderate")], [("a", t[2], "strong")], [("a", t[3], "strong")]]
+    got = memory(jobs.cell_alerts(polls(spark, tmp_path, "cell_id string, ts timestamp_ntz, classification string", batches)), "cell_alerts", tmp_path)
+    assert sorted((r.cell_id, r.ts, r.alert_type) for r in got.collect()) == [("a", t[1], "new_cell"), ("a", t[2], "escalation"), ("b", t[0], "new_cell")]

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.operators import changes
 from tidewatch.operators.changes import new_rows
+from tidewatch.operators.spatial import TRACKS, Tracker
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -37,6 +39,137 @@ def ingest(source: DataFrame, path: str, keys: list[str], seq: str, checkpoint:
     return source.writeStream.foreachBatch(insert_once(path, keys, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_changes(path: str, *, complete: bool = True, tombstone_time: str = "source") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends to a journal what a poll changed: new states, and the end of what is absent.
+
+    A batch is one poll of (source, entity_key, effective_ts, state, state_hash, seq); sources that it doesn't mention are
+    left alone. A retried batch finds its own states stored and adds nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            journal = stored(spark, path, f"{_ddl(batch)}, active int")
+            now = F.lit(batch.agg(F.max("effective_ts")).first()[0]).cast("timestamp_ntz")
+            rows = changes.journal_batch(journal, batch, now, complete=complete, tombstone_time=tombstone_time)
+            rows.select(journal.columns).write.mode("append").parquet(path)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a table that is written anew with each batch, the newest last; those that weren't finished don't count."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    there = [f.getPath() for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in there if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str, schema, *, before: int | None = None) -> DataFrame:
+    """A versioned table's rows as of its newest version, or the newest one before a version; none where there is none."""
+    made = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{path}/v={made[-1]}") if made else spark.createDataFrame([], schema)
+
+
+def merge_polls(path: str, key: str, ts: str, *, alerts: str | None = None, priority: str | None = None, empty_means_none: bool = False) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps a table of entities: a poll's rows replace or join the stored ones, absent ones are resolved.
+
+    A batch is one poll. The table is written anew as a version of the batch's number, from the version before it, so a
+    retried batch writes what it wrote before. With `alerts`, what is new, cleared, escalated and eased by `priority` among
+    open entities is written there in a folder of its own for each batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            schema = f"{_ddl(batch)}, first_seen timestamp_ntz, last_seen timestamp_ntz, resolved int"
+            old = current(spark, path, schema, before=number)
+            now = F.lit(batch.agg(F.max(ts)).first()[0]).cast("timestamp_ntz")
+            merged = changes.upsert(old.drop("resolved"), batch, key, now)
+            known = old.select(key, F.col("resolved").alias("_was"))
+            came = batch.select(key, F.lit(0).alias("_now"))
+            table = merged.join(known, key, "left").join(came, key, "left").withColumn("resolved", F.coalesce("_now", "_was", F.lit(0))).drop("_was", "_now")
+            swept = changes.sweep(table, batch, key, F.coalesce(now, F.col("last_seen")), empty_means_none=empty_means_none)
+            names = [f.split()[0] for f in schema.split(", ")]
+            swept.select(names).write.mode("overwrite").parquet(f"{path}/v={number}")
+            if alerts:
+                open_ = lambda df: df.where("resolved = 0")
+                after = current(spark, path, schema, before=number + 1)
+                changes.snapshot_diff(open_(old), open_(after), key, priority).write.mode("overwrite").parquet(f"{alerts}/v={number}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def run_batches(source: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run what is available of a stream through a foreachBatch function."""
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_cells(stream: DataFrame, km_per_px: float = 1.0) -> DataFrame:
+    """TRACKS of detections (radar_id, ts, det, x, y, area), as cell_tracks gives them: a radar's tracker is its state.
+
+    Frames come whole and in order; one that isn't later than the last of its radar has been followed already and is
+    left out.
+    """
+    import pickle
+
+    import pandas as pd
+
+    names = [f.split()[0] for f in TRACKS.split(", ")]
+
+    def run(key, frames, state: GroupState):
+        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(), None)
+        out = []
+        for ts, frame in pd.concat(list(frames)).sort_values(["ts", "det"]).groupby("ts", sort=True):
+            if last is not None and ts <= last:
+                continue
+            made = tracker.step(ts.timestamp(), list(frame[["x", "y", "area"]].itertuples(index=False, name=None)), km_per_px)
+            out += [(key[0], ts, int(d), *m) for d, m in zip(frame.det, made, strict=True)]
+            last = ts
+        state.update((pickle.dumps((tracker, last)),))
+        yield pd.DataFrame(out, columns=names).astype({"speed_kmh": "float64", "bearing": "float64"})
+
+    rows = stream.where("radar_id IS NOT NULL AND ts IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND area IS NOT NULL").select("radar_id", "ts", F.col("det").cast("long").alias("det"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "area")])
+    return rows.groupBy("radar_id").applyInPandasWithState(run, TRACKS, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def cell_alerts(stream: DataFrame, forget_minutes: int = 30) -> DataFrame:
+    """(cell_id, ts, alert_type, classification) where a cell (cell_id, ts, classification) is graver than ever; cells are forgotten some minutes after their last frame."""
+    import pandas as pd
+
+    grade = {"strong": 1, "moderate": 2}
+
+    def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, last = state.get if state.exists else (None, 0.0)
+        out = []
+        for ts, name in pd.concat(list(frames)).sort_values("ts")[["ts", "classification"]].itertuples(index=False, name=None):
+            last = max(last, ts.timestamp())
+            if name in grade and (best is None or grade[name] < best):
+                out.append((key[0], ts, "new_cell" if best is None else "escalation", name))
+                best = grade[name]
+        state.update((best, last))
+        state.setTimeoutTimestamp(max(int(last * 1000) + forget_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["cell_id", "ts", "alert_type", "classification"])
+
+    rows = stream.select("cell_id", F.col("ts").cast("timestamp").alias("ts"), "classification").withWatermark("ts", f"{forget_minutes} minutes")
+    return rows.groupBy("cell_id").applyInPandasWithState(run, "cell_id string, ts timestamp, alert_type string, classification string", "best int, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 CHANGES = "hazard string, entity_key string, ts timestamp, value double, before double"
 
 
