@@ -10,12 +10,15 @@ Volume is kept in proportion to the input, whatever the groups look like:
 * a bucket never turns into pairs of rows: a walk over it compares short sketches and gives a spanning forest of the
   pairs that may be similar, so buckets of documents that only share a passage fall apart;
 * these forests' connected components get the documents' texts once; within one, a walk with exact set sizes gives a
-  spanning forest of the confirmed links, comparing only documents that aren't connected already.
+  spanning forest of the confirmed links, comparing only documents that aren't connected already;
+* buckets and components beyond a task's size are cut into blocks that meet one of them first; only what that leaves
+  unconnected meets the others.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -208,17 +211,13 @@ def set_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _candidates(reps: DataFrame, id_type: str) -> DataFrame:
-    """(a, b): forests of the pairs of representatives that share a band and have similar sketches."""
-    import pyarrow as pa
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+
 
-    rows = reps.select("rep", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    inside = rows.join(full, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # a bucket over BLOCK is cut into blocks, each two of which meet once
-    inside = inside.withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-    inside = inside.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep").join(reps.select("rep", "sketch"), "rep")
-    dealt = inside.select("band", "i", "j", "rep", "sketch").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+def _alike(rows: DataFrame, id_type: str) -> DataFrame:
+    """(a, b): forests of the pairs with similar sketches within each (key, part) of rows (key, part, id, sketch)."""
+    import pyarrow as pa
 
     def run(batches):
         made: list[tuple] = []
@@ -228,24 +227,22 @@ def _candidates(reps: DataFrame, id_type: str) -> DataFrame:
             made.clear()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for group in runs(batches, 3):
-            ids = group.column(3).to_pylist()
-            sketches = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+        for group in runs(batches, 2):
+            ids = group.column(2).to_pylist()
+            sketches = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
             made += [(ids[p], ids[q]) for p, q in _bucket_forest(sketches)]
             if len(made) > 10_000:
                 yield out()
         if made:
             yield out()
 
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return _dealt(rows.select("key", "part", "id", "sketch")).mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
-def _confirmed(dealt: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
-    """(a, b): forests of the confirmed links within each (group, part) of rows (group, part, id, text)."""
+def _confirmed(rows: DataFrame, id_type: str, size: int, percent: int) -> DataFrame:
+    """(a, b): forests of the confirmed links within each (key, part) of rows (key, part, id, text)."""
     import pyarrow as pa
 
-    dealt = dealt.select("group", "part", "id", "text").repartition("group", "part").sortWithinPartitions("group", "part", "id")
-
     def run(batches):
         for group in runs(slices(batches), 2):
             found = [(i, s) for i, s in zip(group.column(2).to_pylist(), shingle_sets(group.column(3).combine_chunks(), size), strict=True) if len(s)]
@@ -255,38 +252,50 @@ def _confirmed(dealt: DataFrame, size: int, percent: int, id_type: str) -> DataF
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a]), pa.array([ids[k] for k in b])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return _dealt(rows.select("key", "part", "id", "text")).mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
+def _connected(members: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) of what `compare` links within groups, for members (key, id, block, parts, ...): a block is what one task compares.
+
+    Each block meets block 0 first. In a large group that links nearly all; only what isn't in the group's principal
+    component by then meets all blocks, so no group turns into all pairs of its blocks. Rows that agree in all columns
+    but the block are equal and count once.
+    """
+    near = members.withColumn("part", F.explode(F.expr("if(block = 0, sequence(0, parts - 1), array(block))")))
+    links = materialise(compare(near.withColumn("part", F.col("part").cast("string"))), "links")
+    found = components(links)
+    large = members.where("parts > 1").select("key", "id", "block", "parts").distinct()
+    held = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    most = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("principal"))
+    rest = materialise(held.join(most, "key").where("component <> principal").select("key", "id"), "rest")
+    if rest.isEmpty():
+        return found
+    count = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("heaps"))
+    heap = F.pmod(F.xxhash64("id", F.lit(1)), "heaps").cast("int")
+    mine = members.join(rest.join(count, "key").withColumn("heap", heap).select("key", "id", "heap"), ["key", "id"]).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    all_ = members.join(count, "key").withColumn("heap", F.explode(F.expr("sequence(0, heaps - 1)"))).withColumn("other", F.col("block"))
+    columns = [*members.columns, "heap", "other"]
+    once = [c for c in columns if c not in ("block", "text")]
+    both = mine.select(columns).unionByName(all_.select(columns)).dropDuplicates(once).withColumn("part", F.concat_ws("/", "heap", "other"))
+    return components(links.union(compare(both)))
 
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, id_type: str) -> DataFrame:
     """(id, component) of the representatives that are linked with others."""
-    groups = components(_candidates(reps, id_type)).withColumnRenamed("component", "group")
+    rows = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    full = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = rows.join(full, "key").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    sketches = reps.select(F.col("rep").alias("id"), "sketch")
+    groups = _connected(buckets.select("key", "id", "block", "parts"), lambda df: _alike(df.join(sketches, "id"), id_type)).withColumnRenamed("component", "key")
     groups = groups.join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id")
-    sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    groups = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    parts = groups.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    groups = groups.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("mark"))
-    texts = materialise(texts.join(groups.select("id", "group", "block", "parts"), "id"), "candidates")
+    texts = materialise(texts.join(groups.select("key", "id", "block", "parts"), "id"), "candidates")
     # repeated rows meet in the map tasks first, so a row that came very often doesn't fill a part; other texts of its id stay
     texts = materialise(texts.dropDuplicates(["id", "mark"]), "candidates-once")
-    # each block with itself and with block 0; a group of one block is settled by that
-    near = texts.withColumn("part", F.explode(F.expr("if(block = 0, sequence(0, parts - 1), array(block))")))
-    links = materialise(_confirmed(near, size, percent, id_type), "links")
-    large = texts.where("parts > 1").select("id", "group", "block", "parts").distinct()
-    if not large.isEmpty():
-        # what isn't linked with its group's principal component by now meets all blocks
-        found = large.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        most = found.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", "n").alias("principal"))
-        rest = materialise(found.join(most, "group").where("component <> principal").select("id", "group", "block", "parts"), "rest")
-        if not rest.isEmpty():
-            count = rest.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("heaps"))
-            other = rest.join(count, "group").withColumn("heap", F.pmod(F.xxhash64("id", F.lit(1)), "heaps").cast("int"))
-            mine = texts.join(other.select("id", "heap"), "id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            all_ = texts.join(count, "group").withColumn("heap", F.explode(F.expr("sequence(0, heaps - 1)"))).withColumn("other", F.col("block"))
-            columns = ["group", "heap", "other", "id", "mark", "text"]
-            both = mine.select(columns).unionByName(all_.select(columns)).dropDuplicates(columns[:-1])
-            both = both.withColumn("part", F.concat_ws("/", "heap", "other"))
-            links = links.union(_confirmed(both, size, percent, id_type))
-    return components(links)
+    return _connected(texts.select("key", "id", "block", "parts", "mark", "text"), lambda df: _confirmed(df, id_type, size, percent))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
