@@ -93,6 +93,9 @@ def watch_points(analysed: DataFrame, cells: DataFrame, gusts: DataFrame, *, nea
     analysed: station, target, current, rate, eta_point (hours or null); cells: cell_id, classification, intensity_score,
     speed_kmh, bearing_deg, area_km2; gusts: name, gust. An arrival time makes an entry a PROJECTION.
     """
+    analysed = analysed.withColumns({c: F.col(c).cast("double") for c in ("target", "current", "rate", "eta_point")})
+    cells = cells.withColumns({c: F.col(c).cast("double") for c in ("speed_kmh", "bearing_deg", "area_km2")})
+    gusts = gusts.withColumn("gust", F.col("gust").cast("double"))
     d = F.col("target") - F.col("current")
     near = analysed.where((d > 0) & (d <= near_m) & (F.col("rate") > 0)).orderBy(d, "station").limit(limit)
     due = F.col("eta_point").isNotNull()
@@ -110,12 +113,11 @@ def watch_points(analysed: DataFrame, cells: DataFrame, gusts: DataFrame, *, nea
 
 
 def _section(name: str, part: int, rows: DataFrame, line: Column, order: list, nothing: str) -> DataFrame:
-    """Lines of a section after its heading, or the words for none of them."""
-    spark = rows.sparkSession
-    body = rows.select(F.row_number().over(Window.orderBy(*order)).alias("k"), line.alias("line"))
-    none = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("k"), F.lit(f"  {nothing}").alias("line"))
-    head = spark.range(1).select(F.lit(0).alias("k"), F.lit(name).alias("line"))
-    return head.unionByName(body).unionByName(none).withColumn("part", F.lit(part))
+    """Lines of a section after its heading, or the words for none of them; rows are few and read once."""
+    numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("k"), line.alias("line"))
+    lines = numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("lines"))
+    some = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array(F.lit(f"  {nothing}")))
+    return lines.select(F.lit(part).alias("part"), F.posexplode(F.concat(F.array(F.lit(name)), some)).alias("k", "line"))
 
 
 def briefing(generated: Column, minutes: int, kpis: DataFrame, changes: DataFrame, warnings: DataFrame, points: DataFrame, sources: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def briefing(generated: Column, minutes: int, kpis: DataFrame, changes: DataFram
         _section("WATCH POINTS", 4, points, point, ["position"], "Nothing currently approaching a threshold."),
         _section("DATA FRESHNESS", 5, sources, source, ["source"], "No sources."),
     ]
-    return reduce(DataFrame.unionByName, [title, *parts]).select("part", "k", "line").orderBy("part", "k")
+    return reduce(DataFrame.unionByName, [title, *parts]).orderBy("part", "k")
 
 
 def feature_collection(rows: DataFrame, feature: str = "impact_geojson") -> DataFrame:
