@@ -285,6 +285,7 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int, id_type: s
     """(id, component) of the representatives that are linked with others."""
     rows = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    full = materialise(full, "buckets")  # read back, its size is known, and that of its few large ones
     buckets = rows.join(full, "key").withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     sketches = reps.select(F.col("rep").alias("id"), "sketch")
     groups = _connected(buckets.select("key", "id", "block", "parts"), lambda df: _alike(df.join(sketches, "id"), id_type)).withColumnRenamed("component", "key")
