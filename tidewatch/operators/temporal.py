@@ -53,9 +53,9 @@ def asof_series(instants: DataFrame, series: DataFrame, *, at: str = "at", ts: s
     both = held.withColumn("_asks", F.lit(False)).unionByName(asked.withColumns({"_row": none, "_asks": F.lit(True)}))
     own = both.withColumn("_found", F.last("_row", ignorenulls=True).over(inside)).where("_asks").select("_bin", "_at", "_found")
     tops = held.groupBy("_bin").agg(F.max_by("_row", "_row.order").alias("_top"))
-    before = own.where("_found IS NULL").select("_at", F.explode(F.sequence(F.col("_bin") - bins - 1, F.col("_bin") - 1)).alias("_bin")).join(tops, "_bin")
-    before = before.groupBy("_at").agg(F.max_by("_top", "_top.order").alias("_found"))
-    found = own.where("_found IS NOT NULL").select("_at", "_found").unionByName(before)
+    bins_before = F.when(F.col("_found").isNull(), F.sequence(F.col("_bin") - bins - 1, F.col("_bin") - 1)).otherwise(F.array(F.lit(None).cast("long")))
+    probes = own.select("_at", "_found", F.explode(bins_before).alias("_bin")).join(tops, "_bin", "left")
+    found = probes.select("_at", F.coalesce("_found", "_top").alias("_found")).groupBy("_at").agg(F.max_by("_found", "_found.order").alias("_found"))
     found = found.where(F.col("_found.ts") >= F.col("_at") - F.make_dt_interval(secs=F.lit(max_age_s))).select(F.col("_at").alias(at), F.col("_found.values").alias("_values"))
     return instants.join(found, at, "left").select(*instants.columns, *[F.col(f"_values.{c}").alias(c) for c in rest])
 
