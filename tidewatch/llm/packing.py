@@ -50,18 +50,16 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def sized_and_grouped(docs: DataFrame, tokenizer: str, *, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_tokens and cluster instead of the text: its tokens, and the digest that names its near-duplicates.
+    """docs with n_tokens and cluster instead of the text: its tokens, and the number of its group of near-duplicates.
 
-    What is linked is texts: every document goes by a few bytes of its id's digest and its text's digest, so a third of
-    all rows with one text are many keys, a repeated row is one, and null ids do no harm. A null text has no cluster.
-    The rows are written once in the shared folder.
+    Every document goes by a hash of its id and text, so a third of all rows with one text are many keys, a repeated row
+    is one, and null ids do no harm; two documents of one hash would count as copies. A null text has no cluster. The
+    rows are written once in the shared folder.
     """
-    digest = F.md5(F.col(text))
-    key = F.unhex(F.concat(F.left(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), F.lit(8)), digest))
+    key = F.when(F.col(text).isNotNull(), F.xxhash64(F.col(id).cast("string"), text))
     linked = near_duplicates(docs.where(F.col(text).isNotNull()).select(key.alias("key"), text), size=size, percent=percent, id="key", text=text)
-    of = lambda c: F.substring(c, 5, 16)
-    copies = linked.where("NOT kept").groupBy(of("doc_id").alias("cluster")).agg(F.min(of("component_id")).alias("_first")).where("cluster <> _first")
-    sized = materialise(with_counts(docs.withColumn("cluster", F.unhex(digest)), tokenizer, text=text), "sized")
+    copies = linked.where("NOT kept").groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("_first"))
+    sized = materialise(with_counts(docs.withColumn("cluster", key), tokenizer, text=text), "sized")
     sized = sized.join(materialise(copies, "copies"), "cluster", "left")
     return sized.withColumn("cluster", F.coalesce("_first", "cluster")).drop("_first")
 

@@ -24,7 +24,7 @@ from tidewatch.llm.common import Memo, slices
 CACHE = "content string, tokenizer string, n_tokens long"
 WORDS = 200_000
 #: Rows and bytes of texts whose words are counted together.
-ROWS, BYTES = 8192, 4_000_000
+ROWS, BYTES = 8192, 6_000_000
 
 
 def tokenizer_version(path: str) -> str:
