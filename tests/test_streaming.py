@@ -44,11 +44,11 @@ def test_metric_changes_equal_batch(spark, sf, tmp_path):
 
 
 def test_suppression(spark, tmp_path):
-    stamps = ["10:00", "10:10", "10:50", "12:00"]
+    stamps = ["10:00", "10:10", "10:50", "12:00", "12:20", "12:40", "13:00"]
     rows = spark.createDataFrame([("fire", "a", "rise", f"2024-01-01 {t}") for t in stamps], "hazard string, entity_key string, kind string, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = memory(jobs.suppress_repeats(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "suppressed", tmp_path)
-    assert sorted(r.ts.strftime("%H:%M") for r in got.collect()) == ["10:00", "10:50", "12:00"]
+    assert sorted(r.ts.strftime("%H:%M") for r in got.collect()) == ["10:00", "10:50", "12:00", "12:40"]
 
 
 def polls(spark, tmp_path, schema, batches):

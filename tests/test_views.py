@@ -98,6 +98,21 @@ def test_additions_are_idempotent(spark):
     assert found.count() == 4 and detect.additions(found.limit(0), found, found).count() == 4 and detect.additions(found, found).count() == 0
 
 
+def test_additions_look_at_stored_repeats(spark):
+    def entries(*rows):
+        made = [(h, kind, 1, "x", at(t), key, "m") for h, kind, key, t in rows]
+        df = spark.createDataFrame(made, f"hazard string, kind string, severity int, headline string, ts {NTZ}, entity_key string, metric string")
+        null = {"entity_name": "string", "prev_value": "double", "new_value": "double", "prev_label": "string", "new_label": "string", "since": NTZ}
+        return df.withColumns({c: F.lit(None).cast(t) for c, t in null.items()}).select(detect.EVENT)
+
+    stored = entries(("flood", "rising", "a", 0), ("flood", "threshold", "b", 0), ("flood", "receding", "c", 0), ("rainfall", "burst", "a", 0))
+    found = entries(*[("flood", "rising", key, t) for key in "abcd" for t in (20, 40, 60)], ("flood", "threshold", "d", 19), ("flood", "threshold", "d", 21), ("power", "improving", "s", 1), ("power", "improving", "s", 2), ("power", "deteriorating", "s", 3), ("rainfall", "burst", "a", 31))
+    got = sorted((r.hazard, r.entity_key, r.kind, round((r.ts - T0).total_seconds() / 60)) for r in detect.additions(stored, found).collect())
+    rising = [("flood", "a", "rising", 40), ("flood", "b", "rising", 40), ("flood", "c", "rising", 20), ("flood", "c", "rising", 60), ("flood", "d", "rising", 60)]
+    others = [("flood", "d", "threshold", 19), ("flood", "d", "threshold", 21), ("power", "s", "deteriorating", 3), ("power", "s", "improving", 1), ("rainfall", "a", "burst", 31)]
+    assert got == sorted(rising + others)
+
+
 def test_history_page(spark):
     row = "<tr><td>{}</td><td>{}</td></tr>"
     page = "<table><tr><td>x</td></tr></table><table><tr><th>Date/Time</th><th>Height</th></tr>" + row.format("11/08/2026 09:15", "1.25") + row.format("bad", "2") + row.format("11/08/2026 09:30", "-") + row.format("11/08/2026 09:45", "1.5") + "</table><table><tr><th>Date</th></tr>" + row.format("11/08/2026 10:00", "9") * 5 + "</table>"

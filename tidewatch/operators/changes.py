@@ -88,10 +88,3 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, priority: str)
     left, right = before.select(key, F.col(priority).alias("before")), after.select(key, F.col(priority).alias("after"))
     change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "cleared").when(F.col("after") < F.col("before"), "escalated").when(F.col("after") > F.col("before"), "eased")
     return left.join(right, key, "full_outer").withColumn("change", change).where("change IS NOT NULL").select(key, "change", "before", "after")
-
-
-def suppressed(events: DataFrame, keys: list[str], ts: str, seq: str, minutes: int) -> DataFrame:
-    """Events that come within so many minutes after one of the same key, without them: each burst's first stays."""
-    rows = with_previous(events, keys, ts, seq, [ts])
-    gap = F.timestamp_diff("MICROSECOND", F.col(f"prev_{ts}"), F.col(ts))
-    return rows.where(gap.isNull() | (gap > minutes * 60_000_000)).drop(f"prev_{ts}")

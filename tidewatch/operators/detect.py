@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import classify, text
+from tidewatch.functions.shared import written
 from tidewatch.functions.classify import CRITICAL, INFO, MAJOR, NOTABLE
-from tidewatch.operators import changes, temporal
+from tidewatch.operators import changes, folds, temporal
 
 EVENT = ["hazard", "kind", "severity", "headline", "ts", "entity_key", "entity_name", "metric", "prev_value", "new_value", "prev_label", "new_label", "since"]
 #: What makes two entries the same.
@@ -176,7 +177,26 @@ def rainfall(readings: DataFrame, now: Column, cutoff: Column, *, window_minutes
     return _entries(rows, "rainfall", "rain_mm", kind=F.lit("burst"), severity=F.when(F.col("total") >= 2 * burst, MAJOR).otherwise(NOTABLE), headline=F.concat(F.lit("Heavy rainfall at "), name), ts=F.col("ts"), entity_key=F.col("wmo"), entity_name=name, new_value=F.col("total"), since=F.col("since"))
 
 
-def additions(stored: DataFrame, *found: DataFrame) -> DataFrame:
-    """The entries that a pass of detectors adds to those stored: no entry twice, and no repeat of one's kind."""
+#: Kinds that come again and again, and what holds each back if it was shown shortly before.
+REPEATED = {("flood", "rising"): ["rising", "threshold"], ("power", "deteriorating"): ["deteriorating"], ("power", "improving"): ["improving"], ("rainfall", "burst"): ["burst"]}
+
+
+def additions(stored: DataFrame, *found: DataFrame, repeat_minutes: int = 30) -> DataFrame:
+    """The entries that a pass of detectors adds to those stored: no entry twice, and no repeat of one's kind.
+
+    Kinds of REPEATED are left out within repeat_minutes after an entry, stored or added, of their hazard, entity and of a
+    kind that holds them back; what was left out holds nothing back.
+    """
     rows = reduce(DataFrame.unionByName, found).withColumn("_seq", F.xxhash64(*EVENT_KEY, "headline"))
-    return changes.new_rows(stored, rows, EVENT_KEY, "_seq").select(EVENT)
+    new = written(changes.new_rows(stored, rows, EVENT_KEY, "_seq"), "entries")
+    kinds = F.struct("hazard", "kind")
+    repeated = lambda pairs: kinds.isin([F.struct(F.lit(h).alias("hazard"), F.lit(k).alias("kind")) for h, k in pairs])
+    held = F.coalesce(repeated(REPEATED), F.lit(False))
+    # an entry that holds back entries of another kind counts as a stored one of that kind
+    others = [(h, by, kind) for (h, kind), bys in REPEATED.items() for by in bys if by != kind]
+    before = stored.select("hazard", "entity_key", "kind", "ts")
+    for h, by, kind in others:
+        both = stored.select(EVENT).unionByName(new.select(EVENT))
+        before = before.unionByName(both.where((F.col("hazard") == h) & (F.col("kind") == by)).select("hazard", "entity_key", F.lit(kind).alias("kind"), "ts"))
+    shown = folds.spaced(new.where(held), ["hazard", "entity_key", "kind"], "ts", "_seq", repeat_minutes, before)
+    return new.where(~held).unionByName(shown).select(EVENT)

@@ -27,13 +27,13 @@ prev AS (SELECT *, lag(height) OVER (PARTITION BY station ORDER BY ts, seq) AS p
 """
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, *, recursive: bool = False) -> Callable:
     """Enter a function as a query, with its SQL; CTES stand before that."""
 
     def enter(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {CTES.strip()}{'' if sql.lstrip().startswith(',') else ' '}{sql.strip()}"
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{CTES.strip()}{'' if sql.lstrip().startswith(',') else ' '}{sql.strip()}"
         return f
 
     return enter

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions.classify import flood_label, flood_priority, lead_bucket
 from tidewatch.functions.times import at
-from tidewatch.operators import changes, temporal, trend
+from tidewatch.operators import changes, folds, temporal, trend
 from tidewatch.plans.registry import as_of, coords, instants, observations, query
 
 
@@ -141,13 +141,30 @@ def step_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return previous(spark, sf_dir).select("station", "ts", "seq", F.round(F.col("height") - F.col("prev_height"), 6).alias("step"))
 
 
-@query(""", r AS (SELECT station, ts, seq FROM prev WHERE height - prev_height >= 20 AND height >= 0.9 * minor),
-l AS (SELECT *, lag(ts) OVER (PARTITION BY station ORDER BY ts, seq) AS before FROM r)
-SELECT station, ts, seq FROM l WHERE before IS NULL OR ts > before + INTERVAL 30 MINUTE""")
+RISES = ", rises AS (SELECT station, ts, seq FROM prev WHERE height - prev_height >= 20 AND height >= 0.9 * minor)"
+
+
+def _rises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return previous(spark, sf_dir).where("height - prev_height >= 20 AND height >= 0.9 * minor").select("station", "ts", "seq")
+
+
+@query(RISES + """, shown(station, ts) AS (SELECT station, min(ts) FROM rises GROUP BY station
+UNION ALL SELECT s.station, (SELECT min(r.ts) FROM rises r WHERE r.station = s.station AND r.ts > s.ts + INTERVAL 12 HOUR) FROM shown s WHERE s.ts IS NOT NULL)
+SELECT r.station, r.ts, min(r.seq) AS seq FROM rises r JOIN shown s ON r.station = s.station AND r.ts = s.ts GROUP BY r.station, r.ts""", recursive=True)
 def fast_rise_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fast rises near flood level, none within 30 minutes after another of its gauge."""
-    rises = previous(spark, sf_dir).where("height - prev_height >= 20 AND height >= 0.9 * minor").select("station", "ts", "seq")
-    return changes.suppressed(rises, ["station"], "ts", "seq", 30)
+    """Fast rises near flood level, none within 12 hours after another of its gauge that was shown."""
+    return folds.spaced(_rises(spark, sf_dir), ["station"], "ts", "seq", 720)
+
+
+@query(RISES + """, stored AS (SELECT station, ts FROM obs WHERE catchment = 'signup' AND height >= 60),
+open AS (SELECT * FROM rises r WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.station = r.station AND s.ts <= r.ts AND s.ts >= r.ts - INTERVAL 12 HOUR)),
+shown(station, ts) AS (SELECT station, min(ts) FROM open GROUP BY station
+UNION ALL SELECT s.station, (SELECT min(r.ts) FROM open r WHERE r.station = s.station AND r.ts > s.ts + INTERVAL 12 HOUR) FROM shown s WHERE s.ts IS NOT NULL)
+SELECT r.station, r.ts, min(r.seq) AS seq FROM open r JOIN shown s ON r.station = s.station AND r.ts = s.ts GROUP BY r.station, r.ts""", recursive=True)
+def fast_rise_against_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where entries stored before hold back rises of the 12 hours after them."""
+    stored = observations(spark, sf_dir).where("catchment = 'signup' AND height >= 60").select("station", "ts")
+    return folds.spaced(_rises(spark, sf_dir), ["station"], "ts", "seq", 720, stored)
 
 
 @query(""", d AS (SELECT date_trunc('hour', ts) AS hour, round(sum(height), 4) AS customers FROM obs GROUP BY 1),
@@ -179,10 +196,25 @@ def crossing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("station", "ts", F.col("prev_ts").alias("below_ts"), "height")
 
 
-@query("SELECT station, ts, seq, height FROM prev WHERE prev_height IS NULL OR height IS NULL OR abs(height - prev_height) <= 50")
+SPIKES = """, r AS (SELECT station, ts, seq, height * 10 AS h, row_number() OVER (PARTITION BY station ORDER BY ts, seq) AS k FROM obs WHERE height IS NOT NULL),
+walk(station, k, last, ok) AS (SELECT station, 0, CAST({start} AS DOUBLE), false FROM r WHERE k = 1
+UNION ALL SELECT r.station, CAST(r.k AS INTEGER), CASE WHEN (CASE WHEN w.last IS NULL THEN r.h <= 900 ELSE abs(r.h - w.last) <= 300 END) AND r.h <= 900 THEN r.h ELSE w.last END, CASE WHEN w.last IS NULL THEN r.h <= 900 ELSE abs(r.h - w.last) <= 300 END FROM walk w JOIN r ON r.station = w.station AND r.k = w.k + 1)
+SELECT r.station, r.ts, r.seq, r.h AS height FROM r JOIN walk w ON r.station = w.station AND r.k = w.k WHERE ok UNION ALL SELECT station, ts, seq, height FROM obs WHERE height IS NULL"""
+
+
+@query(SPIKES.format(start="NULL"), recursive=True)
 def spike_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings without those that jump by more than 50 from the one before."""
-    return previous(spark, sf_dir).where("prev_height IS NULL OR height IS NULL OR abs(height - prev_height) <= 50").select("station", "ts", "seq", "height")
+    """Readings without those that jump by more than 300 from the last one accepted, or are over 900 before any is."""
+    rows = observations(spark, sf_dir).select("station", "ts", "seq", (F.col("height") * 10).alias("height"))
+    return folds.accepted(rows, ["station"], ["ts", "seq"], "height", F.to_date("ts"), jump=300.0)
+
+
+@query(SPIKES.format(start="CASE WHEN station % 2 = 0 THEN 800 END"), recursive=True)
+def spike_guard_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every second gauge has a stored height to begin with."""
+    rows = observations(spark, sf_dir).select("station", "ts", "seq", (F.col("height") * 10).alias("height"))
+    known = rows.where("station % 2 = 0").select("station", F.lit(800.0).alias("height")).distinct()
+    return folds.accepted(rows, ["station"], ["ts", "seq"], "height", F.to_date("ts"), jump=300.0, baseline=known)
 
 
 @query("SELECT station, height FROM latest WHERE height >= 0.9 * minor")

@@ -197,7 +197,7 @@ def metric_changes(stream: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 
 def suppress_repeats(stream: DataFrame, minutes: int = 30) -> DataFrame:
-    """Alerts (hazard, entity_key, kind, ts) that don't come within so many minutes after another one; keys are forgotten after that."""
+    """Alerts (hazard, entity_key, kind, ts) that don't come within so many minutes after the last one shown; keys are forgotten after that."""
     import pandas as pd
 
     keys = ["hazard", "entity_key", "kind"]
@@ -212,7 +212,7 @@ def suppress_repeats(stream: DataFrame, minutes: int = 30) -> DataFrame:
             now = ts.timestamp()
             if last is None or now - last > minutes * 60:
                 out.append((*key, ts))
-            last = max(now, last or now)
+                last = now
         state.update((last,))
         state.setTimeoutTimestamp(max(int(last * 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*keys, "ts"])
