@@ -1,9 +1,11 @@
 """Code compression, filter audit and substring dedup against brute force, on odd rows as well."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import permutations
@@ -11,7 +13,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from tidewatch.llm import buffers, code_compression, filter_audit, queries, substring_dedup
+from tidewatch.llm import buffers, code_compression, filter_audit, queries, substring_dedup, url_rules, warc
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -276,3 +278,48 @@ def test_repeats_of_the_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = Counter((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for (i, _), (n, gone, kept) in zip(docs, brute_removed([t for _, t in docs], 35), strict=True))
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.op13_substring_dedup(spark, sf).collect()) == want
+
+
+# --- records and urls that are odd or long
+
+
+def test_odd_records_are_derived():
+    def of(*lines, http=("Content-Type: text/html",), body=b"<p>caf\xc3\xa9"):
+        block = "\r\n".join(["HTTP/1.1 200 OK", *http]).encode() + b"\r\n\r\n" + body
+        return warc.derive("\r\n".join(["WARC/1.1", *lines]).encode() + b"\r\n\r\n" + block)
+
+    for charset in ("idna", "undefined", "nonsense", "hex", "utf-8", '"UTF-8"'):
+        assert of("WARC-Type: response", http=(f"Content-Type: text/html; charset={charset}",))[1][-1] == "café"
+    assert of("WARC-Type: response", http=("content-TYPE: text/html; Charset=latin-1",))[1][-1] == "cafÃ©"
+    for length in ("²", "-1", "x", "", "9" * 30):
+        assert of("WARC-Type: response", f"Content-Length: {length}")[1][-1] == "café"
+    made = of("warc-type: Response", "WARC-record-id: <urn:1>", "X: 1", "x: 2", "X: 3")
+    assert [m[0] for m in made] == ["metadata", "conversion"] and made[0][2] == "<urn:1>"
+    head = json.loads(made[0][-1])["warc-header"]
+    assert head["X"] == ["1", "3"] and head["x"] == "2"
+    assert of("WARC-Type: request") == []
+
+
+def test_pages_are_scanned_once():
+    began = time.time()
+    for piece in ("<a", "<a ", "<a '", '<a "', "<script", "<script>", "<title>", "<title", "<!--", "<!", "</", "<a href", "<a href=", "&", "<p"):
+        page = piece * (1_000_000 // len(piece))
+        warc.derive(warc.response_record("u", page, "d", "i"))
+    assert time.time() - began < 30
+    assert warc.plain_text("a<b title='1 > 0 < 2'>b</b> <i<b>c</b> d < e <script>x</script >f") == "ab <ic d < e f"
+    assert warc.title_of("<title>a &amp; <b></TITLE>") == "a & <b>" and warc.title_of("<title>a") is None
+
+
+def test_response_ids_depend_on_the_page(spark):
+    rows = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (1, "u", None)], "page_id long, url string, html string")
+    assert len({warc.parse_record(bytes(r.record))[0]["WARC-Record-ID"] for r in warc.response_records(rows).collect()}) == 3
+
+
+def test_urls_with_very_many_labels(spark):
+    hosts = [".".join(["a"] * 20_000) + ".example.com", "x." * 15_000 + "net", "." * 5000, "com", ".com", "www.example.com"]
+    pages = spark.createDataFrame([(k, f"http://{h}/en/x") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, url_rules.RULES)
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("com/", "allow"), 4: ("com/", "allow"), 5: ("www.example.com/en/", "allow")}
+    assert time.time() - began < 60

@@ -60,8 +60,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id: str = "page_id", url:
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url")).groupBy("id", "url").agg(F.count("*").alias("copies"))
     rows = rows.withColumns({"host": host, "path": path})
     stacks = rule_stacks(rules)
+    # only a host's last labels, as many as the longest host of a rule has, can be a rule's
+    deepest = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 1
     labels = F.split("host", "\\.")
-    own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.lit(deepest))
+    own = F.transform(F.sequence(F.lit(1), F.size(last)), lambda n: F.array_join(F.slice(last, n, F.lit(deepest)), "."))
     levels = rows.withColumn("level", F.explode(own))
     # how many slices the urls under a rule's host get: counts of hosts meet in the map tasks first
     hosts = stacks.select("level").distinct()

@@ -17,9 +17,10 @@ CRLF = "\r\n"
 #: Elements whose content isn't text of the page, and those that break a line.
 SILENT = "script|style|template|noscript|head|svg"
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(""" + SILENT + r""")\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9]*)(?:"[^"]*"|'[^']*'|[^"'>])*>|<[!?][^>]*>""", re.S | re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_HREF = re.compile(r"""<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Outside quotes a tag ends before the next "<", so that text without any ">" is scanned once, not once for each "<".
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(""" + SILENT + r""")\b[^<>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9]*)(?:"[^"]*"|'[^']*'|[^"'<>])*>|<[!?][^<>]*>""", re.S | re.I)
+_TITLE = re.compile(r"<title[^<>]*>", re.I)
+_HREF = re.compile(r"""<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s<>]+)""", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 DERIVED = "source_id string, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, block_digest string, content_length long, headers map<string,string>, block string"
 
@@ -54,44 +55,71 @@ def serialise(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1{CRLF}{''.join(f'{k}: {v}{CRLF}' for k, v in headers.items())}{CRLF}".encode() + block + b"\r\n\r\n"
 
 
-def parse_headers(data: bytes) -> dict[str, str]:
-    """Header fields, folded lines joined; of repeated fields the first counts."""
-    out: dict[str, str] = {}
-    for line in re.sub(rb"\r?\n[ \t]+", b" ", data).decode("utf-8", "replace").splitlines():
-        name, colon, value = line.partition(":")
-        if colon:
-            out.setdefault(name.strip(), value.strip())
-    return out
+class Fields:
+    """Header fields in order; names are found in any case, the first of repeated ones."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.pairs = pairs
+        self._first = {name.lower(): value for name, value in reversed(pairs)}
+
+    def get(self, name: str, default: str = "") -> str:
+        return self._first.get(name.lower(), default)
+
+    def __getitem__(self, name: str) -> str:
+        return self._first[name.lower()]
+
+    def json(self) -> dict[str, str | list[str]]:
+        """By name as it was written; the values of repeated fields as a list."""
+        out: dict = {}
+        for name, value in self.pairs:
+            out[name] = [*(out[name] if isinstance(out[name], list) else [out[name]]), value] if name in out else value
+        return out
+
+
+def parse_headers(data: bytes) -> Fields:
+    """Header fields, folded lines joined."""
+    lines = (line.partition(":") for line in re.sub(rb"\r?\n[ \t]+", b" ", data).decode("utf-8", "replace").splitlines())
+    return Fields([(name.strip(), value.strip()) for name, colon, value in lines if colon])
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(record: bytes) -> tuple[Fields, bytes]:
     """Headers and block of an uncompressed record; a block that is shorter than its length says is taken as it is."""
     head, _, rest = record.partition(b"\r\n\r\n")
     headers = parse_headers(head.partition(b"\n")[2])
-    length = headers.get("Content-Length", "")
-    return headers, rest[: int(length)] if length.isdigit() else rest
+    length = headers.get("Content-Length")
+    return headers, rest[: int(length)] if re.fullmatch("[0-9]{1,18}", length) else rest
+
+
+def decoded(payload: bytes, kind: str) -> str:
+    """The text of a payload by the charset of its content type; UTF-8 where that names none that text can be decoded by."""
+    charset = re.search(r"charset=[\"']?([\w-]+)", kind, re.I)
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
+def title_of(page: str) -> str | None:
+    """What stands in a page's first title, if that is closed."""
+    begin = _TITLE.search(page)
+    end = re.compile("</title", re.I).search(page, begin.end()) if begin else None
+    return html.unescape(page[begin.end() : end.start()]).strip() if end else None
 
 
 def derive(record: bytes) -> list[tuple]:
     """DERIVED rows, without source_id, of one record: metadata, then conversion; none if it isn't a response."""
     headers, block = parse_record(record)
-    if headers.get("WARC-Type") != "response":
+    if headers.get("WARC-Type").lower() != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
     http = parse_headers(head.partition(b"\n")[2])
-    kind = next((v for k, v in http.items() if k.lower() == "content-type"), "")
-    charset = re.search(r"charset=[\"']?([\w-]+)", kind)
-    try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    source, uri, date = headers.get("WARC-Record-ID", ""), headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", "")
+    page = decoded(payload, http.get("Content-Type"))
+    source, uri, date = (headers.get(f"WARC-{x}") for x in ("Record-ID", "Target-URI", "Date"))
     paid = headers.get("WARC-Payload-Digest") or digest(payload)
     bare = _COMMENT.sub("", page)
-    title = _TITLE.search(bare)
     links = [html.unescape(x.strip("\"'")) for x in _HREF.findall(bare)]
     status = head.split(b"\r\n", 1)[0].decode("latin-1")
-    envelope = {"warc-header": headers, "http-response": {"status": status, "headers": http, "payload-digest": digest(payload), "payload-length": len(payload)}, "html": {"title": html.unescape(title[1]).strip() if title else None, "links": links}}
+    envelope = {"warc-header": headers.json(), "http-response": {"status": status, "headers": http.json(), "payload-digest": digest(payload), "payload-length": len(payload)}, "html": {"title": title_of(bare), "links": links}}
     out = []
     for kind, content, text in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", plain_text(page))):
         data = text.encode("utf-8", "replace")
@@ -101,7 +129,7 @@ def derive(record: bytes) -> list[tuple]:
 
 
 def response_records(pages: DataFrame, *, id: str = "page_id", url: str = "url", page: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """(source_id, record): a response record for each row of pages; null urls and pages count as empty."""
+    """(source_id, record): a response record for each row of pages, with an id of its url and content; null urls and pages count as empty."""
     import pyarrow as pa
 
     source = pages.select(pages[id].cast("string"), pages[url].cast("string"), pages[page].cast("string"))
@@ -109,7 +137,7 @@ def response_records(pages: DataFrame, *, id: str = "page_id", url: str = "url",
     def run(batches):
         for batch in slices(batches):
             ids, urls, texts = (c.to_pylist() for c in batch.columns)
-            made = [response_record(u or "", t or "", date, record_id("response", str(i), u or "")) for i, u, t in zip(ids, urls, texts, strict=True)]
+            made = [response_record(u or "", t or "", date, record_id("response", str(i), u or "", digest((t or "").encode()))) for i, u, t in zip(ids, urls, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(made, pa.binary())], names=["source_id", "record"])
 
     return source.mapInArrow(run, "source_id string, record binary")
@@ -120,8 +148,9 @@ def derivatives(records: DataFrame, *, id: str = "source_id", record: str = "rec
 
     Both refer to the response by its id, uri and date and keep its payload digest; the metadata block has all source
     headers as JSON. Ids are derived from the source's, so repeated rows and repeated runs give equal records. Null
-    records and those of other types give no rows; a response with an empty page gives an empty conversion. Other
-    columns are not read.
+    records and those of other types give no rows; a response with an empty page gives an empty conversion. Header names
+    count in any case, and repeated fields are all kept. A charset that is no text encoding counts as UTF-8. Payloads are
+    taken as they are: chunked and compressed ones, and gzip members of records, aren't unpacked. Other columns are not read.
     """
     import pyarrow as pa
 
