@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions.classify import accel_label, trend_headline
+from tidewatch.functions.classify import accel_label, flood_priority, trend_headline
 from tidewatch.operators.temporal import first_hit, latest
 
+#: Flood classes in the order in which a rising gauge comes to them.
+CLASSES = ("minor", "moderate", "major")
+
 
 def fits(readings: DataFrame, key: str) -> DataFrame:
     """By key: n, span_h, rate (m/hr), stderr, recent and earlier half's rates, and the current height.
@@ -51,6 +54,99 @@ def analyse(fitted: DataFrame, target: Column, *, least: float = 0.02, rapid: fl
     return rows.withColumns({"eta_point": point, "eta_early": F.when(point.isNotNull(), early), "eta_late": F.when(point.isNotNull(), late)})
 
 
+def next_target(rows: DataFrame, levels: DataFrame, impacts: DataFrame, *, key: str = "station") -> DataFrame:
+    """rows (key, current and more) with target_kind, target_name and target: the next flood class above, else the lowest impact above.
+
+    levels: key, minor, moderate, major; of these the first, in that order, that isn't null and above counts. impacts:
+    key, height_m, impact. All three are null above everything that is known. A station's impacts are a guide's few rows,
+    which go into one sorted ladder, so that any number of rows of a station look up theirs without pairs.
+    """
+    ladder = impacts.where("height_m IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("height_m").cast("double").alias("height"), F.left("impact", F.lit(120)).alias("name")))).alias("_ladder"))
+    both = rows.join(levels.select(key, *[F.col(c).cast("double").alias(f"_{c}") for c in CLASSES]), key, "left").join(ladder, key, "left")
+    step = F.get(F.filter("_ladder", lambda x: x["height"] > F.col("current")), F.lit(0))
+    above = F.when(step.isNotNull(), F.struct(F.lit("impact").alias("kind"), step["name"].alias("name"), step["height"].alias("height")))
+    for c in reversed(CLASSES):
+        above = F.when(F.col("current") < F.col(f"_{c}"), F.struct(F.lit("class").alias("kind"), F.lit(c).alias("name"), F.col(f"_{c}").alias("height"))).otherwise(above)
+    return both.withColumn("_above", above).select(*rows.columns, F.col("_above.kind").alias("target_kind"), F.col("_above.name").alias("target_name"), F.col("_above.height").alias("target"))
+
+
+def impact_table(impacts: DataFrame, current: DataFrame, levels: DataFrame, *, key: str = "station") -> DataFrame:
+    """impacts (key, height_m, impact) with the flood class of their height and whether the water has reached it; unknown heights haven't been."""
+    rows = impacts.join(current.select(key, "current"), key, "left").join(levels.select(key, *CLASSES), key, "left")
+    reached = F.coalesce(F.col("current") >= F.col("height_m"), F.lit(False))
+    return rows.withColumns({"priority": flood_priority(F.col("height_m"), *[F.col(c) for c in CLASSES]), "reached": reached}).select(*impacts.columns, "priority", "reached")
+
+
+def analysis(readings: DataFrame, levels: DataFrame, impacts: DataFrame, now: Column, *, key: str = "station", window_minutes: int = 180, least: float = 0.02, rapid: float = 0.25, horizon_h: float = 12.0, range_pct: float = 20.0, min_n: int = 4, min_span_h: float = 0.5) -> DataFrame:
+    """The whole analysis of every gauge with a reading in the window: fits, the next target, arrival in hours, and why there is none (eta_reason)."""
+    inside = readings.where((F.col("ts") >= now - F.make_dt_interval(mins=F.lit(window_minutes))) & (F.col("ts") <= now))
+    return analysed(fits(inside, key), levels, impacts, key=key, window_minutes=window_minutes, least=least, rapid=rapid, horizon_h=horizon_h, range_pct=range_pct, min_n=min_n, min_span_h=min_span_h)
+
+
+def analysed(fitted: DataFrame, levels: DataFrame, impacts: DataFrame, *, key: str, window_minutes: int, least: float, rapid: float, horizon_h: float, range_pct: float, min_n: int, min_span_h: float) -> DataFrame:
+    """`analysis` of fits that have been made already."""
+    enough = (F.col("n") >= min_n) & (F.col("span_h") >= min_span_h)
+    full = analyse(next_target(fitted.where(enough), levels, impacts, key=key), F.col("target"), least=least, rapid=rapid, horizon_h=horizon_h, range_pct=range_pct, min_n=min_n, min_span_h=min_span_h)
+    far = (F.col("target") - F.col("current")) / F.col("rate") > horizon_h
+    reason = (
+        F.when(F.col("target").isNull(), "Already above every known threshold.")
+        .when(F.col("rate").isNull() | (F.col("rate") < least), f"Not rising fast enough to project (rate below {least:g} m/hr).")
+        .when(far, f"At the current rate the threshold is more than {horizon_h:g} hours away — too far out to project usefully.")
+    )
+    few = F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(f" reading(s) in the last {window_minutes} minutes — at least {min_n} spanning 30 minutes are needed."))
+    rest = fitted.where(~enough).withColumns({"rate": F.lit(None).cast("double"), "stderr": F.lit(None).cast("double"), "headline": F.lit("Insufficient data"), "accel_label": F.lit("Unknown"), "eta_reason": few})
+    return full.withColumn("eta_reason", reason).unionByName(rest, allowMissingColumns=True)
+
+
+PROJECTION = ["id", "station", "made_at", "observed_at", "current", "target_kind", "target_name", "target", "distance", "rate", "stderr", "accel", "readings", "eta_early", "eta_point", "eta_late", "lead_minutes"]
+
+
+def projections(analyses: DataFrame, made_at: Column) -> DataFrame:
+    """PROJECTION rows of those analyses (station and the columns of `analysis`) that have an arrival, with times instead of hours."""
+    after = lambda c: F.col("observed_at") + F.make_dt_interval(secs=F.round(F.col(c) * 3600, 6).cast("decimal(18,6)"))
+    rows = analyses.where("eta_point IS NOT NULL")
+    lead = F.rint(F.col("eta_point") * 60).cast("long")
+    rows = rows.select(F.xxhash64("station", "target", "observed_at").alias("id"), "station", made_at.alias("made_at"), "observed_at", "current", "target_kind", "target_name", "target", (F.col("target") - F.col("current")).alias("distance"), "rate", "stderr", "accel", F.col("n").alias("readings"), *[after(c).alias(c) for c in ("eta_early", "eta_point", "eta_late")], lead.alias("lead_minutes"))
+    return rows.select(PROJECTION)
+
+
+def near_flood(latest_readings: DataFrame, share: float) -> DataFrame:
+    """Gauges (station, height, minor) whose height is at least that share of their minor level."""
+    return latest_readings.where(F.col("height") >= share * F.col("minor"))
+
+
+def settle(projected: DataFrame, series: DataFrame, now: Column, *, key: str = "station", grace_h: float = 3.0) -> DataFrame:
+    """projected with outcome, actual_ts, error_minutes, within_range, each as it fell due: by the first reading at the target until
+    eta_late and the grace, else then. Pending ones have a null outcome; `verify` looks at what came after the deadline, too.
+
+    A projection looks into its days only, which the horizon bounds.
+    """
+    deadline = F.col("eta_late") + F.make_dt_interval(mins=F.lit(int(grace_h * 60)))
+    asked = projected.withColumn("_due", deadline)
+    end = F.least("_due", now)
+    days = F.when(end >= F.col("observed_at"), F.sequence(F.to_date("observed_at"), F.to_date(end)))
+    asked_days = asked.select("id", key, "observed_at", "target", end.alias("_end"), F.explode(days).alias("_day"))
+    rows = asked_days.join(series.where("height IS NOT NULL").select(key, "ts", "seq", "height", F.to_date("ts").alias("_day")), [key, "_day"]).where("ts > observed_at AND ts <= _end")
+    seen = rows.groupBy("id").agg(F.min(F.when(F.col("height") >= F.col("target"), F.col("ts"))).alias("hit_ts"), F.max_by("height", F.struct("ts", "seq")).alias("_last"))
+    both = asked.join(seen, "id", "left")
+    hit, due = F.col("hit_ts").isNotNull(), now >= F.col("_due")
+    outcome = F.when(hit, "reached").when(due & (F.col("_last") < F.col("current")), "receded").when(due, "not_reached")
+    within = F.when(hit, F.col("hit_ts").between(F.col("eta_early"), F.col("eta_late")).cast("int")).when(outcome.isNotNull(), 0)
+    error = F.when(hit, F.timestamp_diff("MICROSECOND", "eta_point", "hit_ts") / F.lit(60e6))
+    return both.withColumns({"outcome": outcome, "actual_ts": F.col("hit_ts"), "error_minutes": error, "within_range": within}).drop("hit_ts", "_last", "_due")
+
+
+def pending_counts(settled: DataFrame) -> DataFrame:
+    """(station, pending): open projections by station."""
+    return settled.where("outcome IS NULL").groupBy("station").agg(F.count("*").alias("pending"))
+
+
+def recent(settled: DataFrame, *, limit: int = 25, verified_only: bool = False) -> DataFrame:
+    """The latest projections, newest first, a limit of them."""
+    rows = settled.where("outcome IS NOT NULL") if verified_only else settled
+    return rows.orderBy(F.desc("made_at"), F.desc("id")).limit(limit)
+
+
 def verify(projections: DataFrame, series: DataFrame, now: Column, *, key: str = "station", grace_h: float = 3.0) -> DataFrame:
     """projections with outcome, actual_ts, error_minutes, within_range; pending ones have a null outcome.
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions.classify import flood_label, flood_priority, lead_bucket
 from tidewatch.functions.times import at
 from tidewatch.operators import changes, folds, temporal, trend
-from tidewatch.plans.registry import as_of, coords, instants, observations, query
+from tidewatch.plans.registry import as_of, coords, instants, observations, query, table
 
 
 def latest_classed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,3 +379,98 @@ def ticker_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_five_by_catchment(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("catchment").orderBy(F.desc("ts"), F.desc("seq"))
     return latest_classed(spark, sf_dir).select("catchment", "station", F.row_number().over(order).alias("k")).where("k <= 5")
+
+
+#: Impacts of guides, of parts; the next target of each gauge's latest height.
+IMPACTS = """, im AS (SELECT p_partkey % 150 AS station, p_size * 6.0 AS height_m, p_name || ' ' || p_type AS impact FROM part),
+nt AS (SELECT c.station, c.height AS current, minor, moderate, major, (SELECT arg_min(height_m, (height_m, impact)) FROM im WHERE im.station = c.station AND height_m > c.height) AS ih, (SELECT arg_min(impact, (height_m, impact)) FROM im WHERE im.station = c.station AND height_m > c.height) AS iname FROM classed c)
+"""
+
+
+def _impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 150).alias("station"), (F.col("p_size") * 6.0).alias("height_m"), F.concat_ws(" ", "p_name", "p_type").alias("impact"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).select("station", "minor", "moderate", "major").distinct()
+
+
+@query(IMPACTS + """SELECT station, current, CASE WHEN current < major THEN 'class' WHEN ih IS NOT NULL THEN 'impact' END AS target_kind, CASE WHEN current < minor THEN 'minor' WHEN current < moderate THEN 'moderate' WHEN current < major THEN 'major' ELSE iname END AS target_name,
+CAST(CASE WHEN current < minor THEN minor WHEN current < moderate THEN moderate WHEN current < major THEN major ELSE ih END AS DOUBLE) AS target FROM nt""")
+def next_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each gauge comes to next: a flood class, or an impact that a guide knows of."""
+    rows = latest_classed(spark, sf_dir).select("station", F.col("height").alias("current"))
+    return trend.next_target(rows, _levels(spark, sf_dir), _impacts(spark, sf_dir))
+
+
+@query(IMPACTS + """SELECT im.station, height_m, impact, CASE WHEN height_m >= major THEN 1 WHEN height_m >= moderate THEN 2 WHEN height_m >= minor THEN 3 ELSE 4 END AS priority, coalesce(current >= height_m, false) AS reached FROM im JOIN nt USING (station)""")
+def impacts_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impacts of gauges with readings, their class, and whether the water is there."""
+    rows = latest_classed(spark, sf_dir).select("station", F.col("height").alias("current"))
+    known = _impacts(spark, sf_dir).join(rows.select("station"), "station", "left_semi")
+    return trend.impact_table(known, rows, _levels(spark, sf_dir))
+
+
+#: Analyses at fourteen polls of the readings of five days before each.
+POLLED = IMPACTS + """, pl(poll) AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-06 00:00:00', TIMESTAMP '2024-01-19 00:00:00', INTERVAL 1 DAY))),
+pt AS (SELECT * FROM (SELECT poll, obs.*, row_number() OVER (PARTITION BY poll, station, ts ORDER BY seq DESC) AS j FROM pl JOIN obs ON ts > poll - INTERVAL 5 DAY AND ts <= poll) WHERE j = 1),
+px AS (SELECT *, epoch(ts - min(ts) OVER (PARTITION BY poll, station)) / 3600 AS h, row_number() OVER (PARTITION BY poll, station ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY poll, station) // 2 AS mid FROM pt),
+pf AS (SELECT poll, station, any_value(minor) AS minor, any_value(moderate) AS moderate, any_value(major) AS major, count(*) AS n, max(h) AS span_h, regr_slope(height, h) AS rate, regr_sxx(height, h) AS sxx, regr_sxy(height, h) AS sxy, regr_syy(height, h) AS syy,
+  regr_slope(height, h) FILTER (k <= mid) AS earlier, regr_slope(height, h) FILTER (k >= mid) AS recent, arg_max(height, ts) AS current, max(ts) AS observed_at FROM px GROUP BY poll, station),
+pg AS (SELECT *, CASE WHEN n >= 3 AND sxx > 0 THEN sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 2) / sxx) END AS stderr, (SELECT min(height_m) FROM im WHERE im.station = pf.station AND height_m > pf.current) AS ih FROM pf),
+pa AS (SELECT *, (recent - earlier) / greatest(span_h / 2, 1e-6) AS accel, CASE WHEN current < minor THEN minor WHEN current < moderate THEN moderate WHEN current < major THEN major ELSE ih END AS target FROM pg),
+pr AS (SELECT *, CASE WHEN n < 4 OR span_h < 0.5 THEN 'few' WHEN target IS NULL THEN 'above' WHEN rate IS NULL OR rate < 0.02 THEN 'slow' WHEN (target - current) / rate > 240 THEN 'far' ELSE 'due' END AS why FROM pa),
+pe AS (SELECT *, (target - current) / rate AS t, (target - current) AS d FROM pr WHERE why = 'due'),
+pc AS (SELECT *, CASE WHEN stderr > 0 THEN d / (rate + stderr) END AS fast, CASE WHEN stderr > 0 THEN CASE WHEN rate - stderr > 0.02 THEN d / (rate - stderr) ELSE 240 END END AS slow, CASE WHEN accel > 0 THEN (-rate + sqrt(rate * rate + 2 * accel * d)) / accel END AS bent FROM pe),
+ph AS (SELECT *, greatest(least(t, fast, slow, bent, t * 0.8), 1 / 60) AS early, least(greatest(t, fast, slow, bent, t * 1.2), 240) AS late FROM pc),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station, target, observed_at ORDER BY poll) AS j FROM ph WHERE current >= 0.8 * minor) WHERE j = 1),
+pj AS (SELECT *, observed_at + to_microseconds(CAST(round(t * 3.6e9) AS BIGINT)) AS eta_point, observed_at + to_microseconds(CAST(round(early * 3.6e9) AS BIGINT)) AS eta_early, observed_at + to_microseconds(CAST(round(late * 3.6e9) AS BIGINT)) AS eta_late FROM once),
+pv AS (SELECT pj.*, (SELECT min(ts) FROM obs o WHERE o.station = pj.station AND o.ts > observed_at AND o.ts <= least(eta_late + INTERVAL 3 HOUR, TIMESTAMP '2024-01-20 00:00:00') AND o.height >= target) AS hit,
+  (SELECT arg_max(height, (ts, seq)) FROM obs o WHERE o.station = pj.station AND o.ts > observed_at AND o.ts <= least(eta_late + INTERVAL 3 HOUR, TIMESTAMP '2024-01-20 00:00:00')) AS last FROM pj),
+po AS (SELECT *, CASE WHEN hit IS NOT NULL THEN 'reached' WHEN TIMESTAMP '2024-01-20 00:00:00' >= eta_late + INTERVAL 3 HOUR THEN CASE WHEN last < current THEN 'receded' ELSE 'not_reached' END END AS outcome FROM pv)
+"""
+
+
+def _polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of every gauge at every poll; their key is the gauge and the day of the poll."""
+    days = F.explode(F.sequence(F.lit(6), F.lit(19)))
+    rows = observations(spark, sf_dir).withColumn("day", days).withColumn("poll", at("2024-01-01 00:00:00") + F.make_dt_interval(days=F.col("day") - 1))
+    rows = rows.where((F.col("ts") > F.col("poll") - F.expr("INTERVAL 5 DAYS")) & (F.col("ts") <= F.col("poll"))).withColumn("key", F.col("station") * 100 + F.col("day"))
+    fitted = trend.fits(rows.select("key", "ts", "seq", "height"), "key")
+    known = [df.withColumn("day", days).withColumn("key", F.col("station") * 100 + F.col("day")).drop("day", "station") for df in (_levels(spark, sf_dir), _impacts(spark, sf_dir))]
+    out = trend.analysed(fitted, *known, key="key", window_minutes=7200, least=0.02, rapid=0.25, horizon_h=240.0, range_pct=20.0, min_n=4, min_span_h=0.5)
+    return out.withColumns({"station": F.floor(F.col("key") / 100), "poll": at("2024-01-01 00:00:00") + F.make_dt_interval(days=(F.col("key") % 100 - 1).cast("int"))})
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections of all polls, each gauge's for one target and reading once."""
+    levels = _levels(spark, sf_dir).select("station", "minor")
+    rows = trend.near_flood(_polled(spark, sf_dir).join(levels, "station").withColumn("height", F.col("current")), 0.8)
+    made = trend.projections(rows, F.col("poll"))
+    return changes.new_rows(made.limit(0), made, ["station", "target", "observed_at"], "made_at")
+
+
+@query(POLLED + """SELECT station, poll, n, CAST(target AS DOUBLE) AS target, CASE why WHEN 'few' THEN 'Only ' || n || ' reading(s) in the last 7200 minutes — at least 4 spanning 30 minutes are needed.' WHEN 'above' THEN 'Already above every known threshold.' WHEN 'slow' THEN 'Not rising fast enough to project (rate below 0.02 m/hr).' WHEN 'far' THEN 'At the current rate the threshold is more than 240 hours away — too far out to project usefully.' END AS eta_reason FROM (SELECT * REPLACE (CASE WHEN why = 'few' THEN NULL ELSE target END AS target) FROM pr)""")
+def trend_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gauge's own target at each poll, and why it has no arrival."""
+    return _polled(spark, sf_dir).select("station", "poll", "n", "target", "eta_reason")
+
+
+@query(POLLED + "SELECT station, poll AS made_at, observed_at, current, CAST(target AS DOUBLE) AS target, round(t, 3) AS hours, CAST(round_even(t * 60, 0) AS BIGINT) AS lead_minutes, outcome, hit AS actual_ts FROM po")
+def projections_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections recorded at polls, and how each turned out when it fell due."""
+    rows = trend.settle(_recorded(spark, sf_dir), observations(spark, sf_dir), as_of())
+    hours = F.timestamp_diff("MICROSECOND", "observed_at", "eta_point") / F.lit(3.6e9)
+    return rows.select("station", "made_at", "observed_at", "current", "target", F.round(hours, 3).alias("hours"), "lead_minutes", "outcome", "actual_ts")
+
+
+@query(POLLED + "SELECT station, count(*) AS pending FROM po WHERE outcome IS NULL GROUP BY station")
+def projections_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.pending_counts(trend.settle(_recorded(spark, sf_dir), observations(spark, sf_dir), as_of()))
+
+
+@query(POLLED + "SELECT made_at, count(*) AS n FROM (SELECT poll AS made_at FROM po WHERE outcome IS NOT NULL ORDER BY poll DESC LIMIT 25) GROUP BY made_at")
+def projections_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 25 projections that are settled, by poll."""
+    rows = trend.recent(trend.settle(_recorded(spark, sf_dir), observations(spark, sf_dir), as_of()), verified_only=True)
+    return rows.groupBy("made_at").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -224,3 +225,60 @@ def suppress_repeats(stream: DataFrame, minutes: int = 30) -> DataFrame:
 def hourly_counts(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events by hour and type, once no more can come."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+_Open = namedtuple("_Open", "station ts seq height id current target eta_point eta_early eta_late")  # noqa: PYI024
+SETTLED = "id long, station string, outcome string, actual_ts timestamp, error_minutes double, within_range int"
+
+
+def settle_projections(stream: DataFrame, *, grace_h: float = 3.0, late: str = "1 hour") -> DataFrame:
+    """SETTLED rows of projections as they fall due, as `trend.settle` gives them in the end.
+
+    stream: station, ts, seq and height of readings, and of projections ts (when they were observed), id, current, target,
+    eta_point, eta_early, eta_late, which are null in readings. A gauge's state is its open projections, and its readings
+    since the first of them or within an hour of the last. A reading at the target settles a projection when it comes, the
+    watermark when its deadline is over; what comes later than that changes nothing.
+    """
+    import pickle
+
+    import pandas as pd
+
+    grace, hour = pd.Timedelta(hours=grace_h), pd.Timedelta(hours=1)
+    names = [f.split()[0] for f in SETTLED.split(", ")]
+
+    def run(key, frames, state: GroupState):
+        open_, seen = pickle.loads(state.get[0]) if state.exists else ([], [])
+        rows = [] if state.hasTimedOut else list(pd.concat(list(frames)).itertuples(index=False))
+        open_ += [r for r in rows if not pd.isna(r.id)]
+        seen = sorted(seen + [(r.ts, r.seq, r.height) for r in rows if pd.isna(r.id) and not pd.isna(r.height)])
+        now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        out, rest = [], []
+        for p in open_:
+            due = p.eta_late + grace
+            after = [(ts, h) for ts, _, h in seen if p.ts < ts <= due]
+            hit = next((ts for ts, h in after if h >= p.target), None)
+            if hit is not None:
+                out.append((int(p.id), key[0], "reached", hit, (hit - p.eta_point).total_seconds() / 60, int(p.eta_early <= hit <= p.eta_late)))
+            elif now >= due:
+                out.append((int(p.id), key[0], "receded" if after and after[-1][1] < p.current else "not_reached", None, None, 0))
+            else:
+                rest.append(p)
+        if seen:
+            first = min([p.ts for p in rest] + [seen[-1][0] - hour])
+            seen = [r for r in seen if r[0] > first]
+        if rest:
+            state.update((pickle.dumps(([_Open(*p) for p in rest], seen)),))
+            state.setTimeoutTimestamp(max(int(min(p.eta_late + grace for p in rest).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        elif seen:
+            state.update((pickle.dumps(([], seen)),))
+            state.setTimeoutTimestamp(max(int((seen[-1][0] + hour).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if state.hasTimedOut and not rest and state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names).astype({"actual_ts": "datetime64[ns]", "error_minutes": "float64"})
+
+    times = [F.col(c).cast("timestamp").alias(c) for c in ("ts", "eta_point", "eta_early", "eta_late")]
+    rows = stream.select(F.col("station").cast("string").alias("station"), times[0], F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("height").cast("double").alias("height"), F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("current", "target")], *times[1:])
+    rows = rows.where("station IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("station").applyInPandasWithState(run, SETTLED, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
