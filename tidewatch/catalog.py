@@ -1,6 +1,6 @@
 """All queries over the driver tables, and their SQL."""
 
-from tidewatch.plans import detectors, guidance, reading, records, replays, scalars, water  # noqa: F401
+from tidewatch.plans import detectors, guidance, reading, records, replays, scalars, situations, water  # noqa: F401
 from tidewatch.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
