@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import spatial
 from tidewatch.operators.changes import journal_rows
-from tidewatch.streaming import jobs
+from tidewatch.streaming import buckets, jobs
 
 
 def split_files(spark, sf, tmp_path):
@@ -27,6 +27,68 @@ def test_ingest_is_idempotent(spark, sf, tmp_path):
     assert sorted(spark.read.parquet(out).select("event_id").collect()) == sorted(events.select("event_id").collect())
 
 
+def tree(path):
+    return sorted(str(p.relative_to(path).parent) for p in path.rglob("part-*.parquet"))
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    schema = "k long, v string, seq long"
+    path = tmp_path / "table"
+    write = jobs.insert_once(str(path), ["k"], "seq", buckets=16, folders=3)
+    batch = lambda *rows: spark.createDataFrame(rows, schema)
+    write(batch(*[(k, "a", k) for k in range(100)], (None, "n", 1), (None, "n", 1)), 0)
+    write(batch((5, "b", 1), (200, "b", 2), (200, "c", 3), (None, "m", 1)), 1)
+    write(batch((5, "b", 1), (200, "b", 2), (200, "c", 3), (None, "m", 1)), 1)  # a retried batch
+    table = buckets.Buckets(spark, str(path), schema, ["k"], 16)
+    rows = lambda: sorted((r.k is None, r.k or 0, r.v) for r in table.read().collect())
+    want = sorted([(False, k, "a") for k in range(100)] + [(True, 0, "n")] * 2 + [(False, 200, "b"), (True, 0, "m")])
+    assert rows() == want
+    one = table.of(batch((200, "x", 0)))
+    assert len(one) == 1
+    plan = table.read(one)._jdf.queryExecution().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    scanned = {f.split("bucket=")[1].split("/")[0] for f in table.read(one).select("k", F.input_file_name().alias("f")).toPandas()["f"]}
+    assert scanned == {str(one[0])}
+    for n in (2, 3):
+        write(batch((300 + n, "c", 1), (5, "z", 1)), n)
+    assert table.live() == ["writer=_base/batch=0"] and rows() == sorted([*want, (False, 302, "c"), (False, 303, "c")])
+    write(batch((5, "z", 1), (301, "d", 1)), 4)
+    table.compact(sweep=True)
+    assert rows() == sorted([*want, (False, 302, "c"), (False, 303, "c"), (False, 301, "d")]) and len({x.split("/bucket")[0] for x in tree(path) if "_manifests" not in x}) == 1
+
+
+def test_an_unfinished_compaction_does_not_count(spark, tmp_path):
+    table = buckets.Buckets(spark, str(tmp_path / "t"), "k long", ["k"], 4)
+    assert table.read().count() == 0
+    table.write(spark.range(10).withColumnRenamed("id", "k"), table.folder("w", 0))
+    table.write(table.read(), "writer=_base/batch=0")  # as it stands before its manifest
+    assert table.read().count() == 10
+    table.compact()
+    assert table.live() == ["writer=_base/batch=0"] and table.read().count() == 10
+
+
+def test_the_journal_keeps_its_last_states(spark, tmp_path):
+    schema = "source string, entity_key string, effective_ts timestamp_ntz, state string, state_hash string, seq long"
+    path = str(tmp_path / "journal")
+    write = jobs.write_changes(path, folders=2, buckets=8)
+    t0 = dt.datetime(2026, 8, 11, 12)
+    rng = random.Random(5)
+    want, last = [], {}
+    for n in range(6):
+        now = t0 + dt.timedelta(minutes=n)
+        poll = {(s, str(k)): rng.choice("xy") for s in rng.sample(["fire", "roads", "power"], 2) for k in range(5) if rng.random() < 0.7}
+        write(spark.createDataFrame([(s, k, now, v, v, 10 * n) for (s, k), v in poll.items()], schema), n)
+        for key in set(last) | set(poll):
+            if key in poll and last.get(key) != poll[key]:
+                want.append((*key, poll[key], 1))
+                last[key] = poll[key]
+            elif key not in poll and last.get(key) and key[0] in {s for s, _ in poll}:
+                want.append((*key, last[key], 0))
+                last[key] = None
+        assert sorted((r.source, r.entity_key, r.state, r.active) for r in spark.read.parquet(path).collect()) == sorted(want)
+    assert any("_base" in str(p) for p in (tmp_path / "journal" / "_last").rglob("*.parquet"))
+
+
 def memory(df, name, tmp_path):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import namedtuple
 from collections.abc import Callable
 
@@ -10,53 +11,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.operators import changes
+from tidewatch.operators import changes, temporal
 from tidewatch.operators.changes import new_rows
 from tidewatch.operators.spatial import TRACKS, Tracker
+from tidewatch.streaming.buckets import Buckets
 
 
-def stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table's rows; none where it hasn't been written yet."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def insert_once(path: str, keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
+def insert_once(path: str, keys: list[str], seq: str, *, writer: str = "main", buckets: int = 64, folders: int = 50) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends rows whose key isn't stored; repeats, late rows and retried batches do no harm.
 
-    Rows come at any lateness, so they are compared with the table rather than dropped behind a watermark.
+    Rows come at any lateness, so they are compared with the table rather than dropped behind a watermark, with the buckets
+    of their own keys only. A retried batch overwrites its folder, rows with null keys included; streams that fill one
+    table need names of their own (`writer`). The table is compacted when it has grown by so many folders.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        old = stored(batch.sparkSession, path, batch.schema)
-        new_rows(old, batch, keys, seq).write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        table = Buckets(batch.sparkSession, path, _ddl(batch), keys, buckets)
+        batch = batch.persist()
+        try:
+            own = table.folder(writer, number)
+            table.write(new_rows(table.read(table.of(batch), without=own), batch, keys, seq), own)
+        finally:
+            batch.unpersist()
+        if len(table.live()) > folders:
+            table.compact()
 
     return write
 
 
 def ingest(source: DataFrame, path: str, keys: list[str], seq: str, checkpoint: str) -> StreamingQuery:
-    """Run what is available of a stream of typed rows into the table at path."""
-    return source.writeStream.foreachBatch(insert_once(path, keys, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run what is available of a stream of typed rows into the table at path; a checkpoint is a writer of its own."""
+    writer = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    return source.writeStream.foreachBatch(insert_once(path, keys, seq, writer=writer)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_changes(path: str, *, complete: bool = True, tombstone_time: str = "source") -> Callable[[DataFrame, int], None]:
+def write_changes(path: str, *, complete: bool = True, tombstone_time: str = "source", writer: str = "main", buckets: int = 64, folders: int = 50) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends to a journal what a poll changed: new states, and the end of what is absent.
 
     A batch is one poll of (source, entity_key, effective_ts, state, state_hash, seq); sources that it doesn't mention are
-    left alone. A retried batch finds its own states stored and adds nothing.
+    left alone. The journal grows without end and isn't read: the last row of every entity is kept beside it, in buckets
+    by source (by entity, if polls aren't complete), and a poll reads those of its own only. A retried batch writes what it
+    wrote before.
     """
+    by = ["source"] if complete else ["source", "entity_key"]
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            journal = stored(spark, path, f"{_ddl(batch)}, active int")
+            schema = f"{_ddl(batch)}, active int"
+            journal, last = (Buckets(spark, p, schema, by, buckets) for p in (path, f"{path}/_last"))
+            own = last.folder(writer, number)
             now = F.lit(batch.agg(F.max("effective_ts")).first()[0]).cast("timestamp_ntz")
-            rows = changes.journal_batch(journal, batch, now, complete=complete, tombstone_time=tombstone_time)
-            rows.select(journal.columns).write.mode("append").parquet(path)
+            known = last.read(last.of(batch), without=own)
+            rows = changes.journal_batch(known, batch, now, complete=complete, tombstone_time=tombstone_time).select(known.columns).persist()
+            last.write(rows, own)
+            journal.write(rows, own)
+            rows.unpersist()
         finally:
             batch.unpersist()
+        if len(last.live()) > folders:
+            last.compact(lambda rows: temporal.latest(rows, ["source", "entity_key"], ["effective_ts", "seq"]).select(rows.columns))
 
     return write
 
