@@ -113,6 +113,16 @@ def test_suppression(spark, tmp_path):
     assert sorted(r.ts.strftime("%H:%M") for r in got.collect()) == ["10:00", "10:50", "12:00", "12:40"]
 
 
+def test_hourly_counts_equal_batch(spark, sf, tmp_path):
+    events, stream = split_files(spark, sf, tmp_path)
+    far = events.limit(1).withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    far.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # so that all other hours are over
+    got = memory(jobs.hourly_counts(stream), "hourly", tmp_path).where("hour < '2029-01-01'")
+    twice = events.where("event_id % 2 = 0")  # two of the three files hold these
+    want = events.unionByName(twice).groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def polls(spark, tmp_path, schema, batches):
     """A stream with one file, and so one batch, for each poll."""
     for k, rows in enumerate(batches):

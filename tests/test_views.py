@@ -150,3 +150,8 @@ def test_more_feeds(spark, tmp_path):
     assert [tuple(r) for r in feeds.gauge_places(text({" G ": {"latitude": 1.0, "longitude": 2.0, "method": "m"}, "H": {"latitude": None}})).collect()] == [("g", 1.0, 2.0, None, "m")]
     stations = text([["station_no", "station_name", "lat", "lon"], ["1", "In", "-37", "145"], ["2", "Out", "-20", "145"]])
     assert [tuple(r) for r in feeds.station_list(stations, (-39.3, -33.8, 140.5, 150.5)).collect()] == [("1", "In", -37.0, 145.0)]
+
+
+def test_frames_are_read_as_bytes(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG")
+    assert [(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in feeds.read_frames(spark, str(tmp_path)).collect()] == [("a.png", b"\x89PNG")]

@@ -143,7 +143,7 @@ def count_text(c: Column) -> Column:
 def measured(c: Column, places: int, unit: str = "") -> Column:
     """A number with its unit, "—" for null."""
     gap = "" if unit in ("", "%") else " "
-    return F.coalesce(F.concat(F.format_string(f"%.{places}f", c.cast("double")), F.lit(gap + unit)), F.lit("—"))
+    return F.when(c.isNotNull(), F.concat(F.format_string(f"%.{places}f", c.cast("double")), F.lit(gap + unit))).otherwise("—")
 
 
 def plural(n: Column, one: str, many: str | None = None) -> Column:
@@ -153,12 +153,12 @@ def plural(n: Column, one: str, many: str | None = None) -> Column:
 def rate_text(rate: Column) -> Column:
     """Rising or Falling with m/hr, Steady below 0.01, null for null."""
     word = F.when(rate > 0, "Rising").otherwise("Falling")
-    return F.when(F.abs(rate) < 0.01, F.lit("Steady")).otherwise(F.concat(word, F.format_string(" %.2f m/hr", F.abs(rate).cast("double"))))
+    return F.when(F.abs(rate) < 0.01, F.lit("Steady")).when(rate.isNotNull(), F.concat(word, F.format_string(" %.2f m/hr", F.abs(rate).cast("double"))))
 
 
 def growth_text(before: Column, after: Column, hours: Column) -> Column:
-    """"+N ha/hr" where a quarter of an hour or more lies between."""
-    return F.when(hours >= 0.25, F.format_string("+%.0f ha/hr", ((after - before) / hours).cast("double")))
+    """"+N ha/hr" where a quarter of an hour or more lies between; null where an area is unknown."""
+    return F.when((hours >= 0.25) & (after - before).isNotNull(), F.format_string("+%.0f ha/hr", ((after - before) / hours).cast("double")))
 
 
 def wind_text(direction: Column, kmh: Column) -> Column:
