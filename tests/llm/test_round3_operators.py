@@ -13,7 +13,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 
-from tidewatch.llm import buffers, code_compression, filter_audit, queries, substring_dedup, url_rules, warc
+from tidewatch.llm import buffers, code_compression, filter_audit, packing, queries, substring_dedup, url_rules, warc
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -323,3 +323,13 @@ def test_urls_with_very_many_labels(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()}
     assert got == {0: ("example.com/en/", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("com/", "allow"), 4: ("com/", "allow"), 5: ("www.example.com/en/", "allow")}
     assert time.time() - began < 60
+
+
+def test_repeated_rows_are_spread_over_parts(spark):
+    rows = [(1, "src", "a b c")] * 9000 + [(k, None, "d e") for k in range(2000)] + [(None, None, None)] * 3
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), capacity=10).collect()
+    assert len(out) == len(rows) and sum(r.bin_id is None for r in out) == 3
+    copies = Counter(r.bin_id for r in out if r.doc_id == 1 and r.n_tokens == 3)
+    assert sum(copies.values()) == 9000 and max(copies.values()) == 1
+    parts = Counter(b >> 32 for b in copies)
+    assert len(parts) == 11003 // packing.PART + 1 and max(parts.values()) < 2 * 9000 / len(parts)

@@ -6,7 +6,7 @@ goes into the tightest bin that has room and no conflict: the search starts at t
 its successors until one is compatible. Items come by falling size.
 
 Packing runs in parts of a bounded number of items, dealt by a hash, so a source or a group of copies that a third of
-all rows belong to is spread evenly over all parts.
+all rows belong to is spread evenly over all parts, and so is one row that is repeated as often.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidewatch.llm.token_counts import with_counts
 
 #: Items of a part, about: what one task packs at a time.
 PART = 2048
+#: Copies of a row that are numbered at a time.
+RUN = 1 << 16
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int]]:
@@ -76,10 +78,13 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, id: str = "doc_id",
     size = n_words(F.col(text)) if size is None else size
     cluster = F.unhex(F.md5(F.col(text))) if cluster is None else cluster
     rows = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), cluster.alias("cluster"), F.coalesce(size.cast("long"), F.lit(0)).alias("n"))
-    pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece"))
-    pieces = pieces.select("doc_id", "source", "cluster", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens"))
+    # rows alike are numbered, from their count, so that they don't all fall into one part
+    many = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).withColumn("k", F.explode(F.expr(f"sequence(0, (copies - 1) div {RUN})")))
+    numbered = many.withColumn("copy", F.explode(F.expr(f"sequence(k * {RUN}, least(copies, (k + 1) * {RUN}) - 1)"))).drop("copies", "k")
+    pieces = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece"))
+    pieces = pieces.select("doc_id", "source", "cluster", "copy", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens"))
     parts = int((rows.agg(F.sum(F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)))).first()[0] or 0) // PART + 1)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(parts)).cast("int"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "copy"), F.lit(parts)).cast("int"))
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.desc("n_tokens"), "doc_id", "piece").select("part", "doc_id", "piece", "n_tokens", "source", "cluster")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
