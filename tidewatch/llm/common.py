@@ -16,9 +16,11 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all machines share, as the session's spark.checkpoint.dir names it; a temporary one where it is unset."""
+    """The folder that all machines share, as the session's spark.checkpoint.dir names it; unset, a temporary one, which only a local master may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = getattr(spark, "_tidewatch_scratch", None)
         if not found:
             found = spark._tidewatch_scratch = tempfile.mkdtemp(prefix="tidewatch-")
