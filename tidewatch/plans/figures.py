@@ -136,3 +136,21 @@ def weather_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def towns_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One guide for each name: the first."""
     return figures.first_seen_order(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), "p_name", ["p_partkey"])
+
+
+@query()
+def briefing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The briefing with all of its sections, a row for each line; the parts have queries with SQL of their own."""
+    from tidewatch.functions.classify import source_state
+    from tidewatch.functions.times import minutes_between
+    from tidewatch.operators import report
+    from tidewatch.plans import reading, situations
+
+    rows = situations.feed_with_context(spark, sf_dir)
+    changes = rows.join(situations.changes(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", "severity", "headline"), "id").select("severity", "ts", "headline", F.split("lines", "; ").alias("lines"))
+    warnings, omitted = figures.briefing_warnings(_incidents(spark, sf_dir), _warnings(spark, sf_dir))
+    consequences = situations.emerging_consequences(spark, sf_dir).select("position", "title", F.split("lines", "; ").alias("lines"))
+    last = observations(spark, sf_dir).where(F.col("ts") <= as_of()).groupBy(F.col("catchment").alias("source")).agg(F.max("ts").alias("ts"))
+    age = minutes_between(F.col("ts"), as_of())
+    sources = last.select("source", age.alias("age"), source_state(age, F.lit(10)).alias("state"))
+    return report.report(as_of(), 1440, situation_figures(spark, sf_dir), changes, warnings, omitted, consequences, reading._points(spark, sf_dir), weather_block(spark, sf_dir), sources)
