@@ -228,7 +228,14 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", F.round(haversine_km(F.col("lat"), F.col("lon"), F.lit(-37.5), F.lit(145.0)), 4).alias("km"))
 
 
-@query()
+KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query(f""", ev AS (SELECT CAST(ts AS DATE) AS day, seq AS event_id, catchment AS hazard, -39 + (station % 50) * CAST(0.1 AS DOUBLE) AS lat, 141 + (station % 80) * CAST(0.1 AS DOUBLE) AS lon, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY CASE WHEN height >= major THEN 3 ELSE 2 END DESC, ts DESC, seq) AS k FROM obs WHERE height >= minor),
+walk(day, k, anchors, joined) AS (SELECT DISTINCT day, 0, CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE)[]), CAST(NULL AS BIGINT) FROM ev
+  UNION ALL SELECT b.day, CAST(b.k AS INTEGER), CASE WHEN len(list_filter(anchors, lambda a: {KM} <= 10)) = 0 THEN list_append(anchors, {{'id': b.event_id, 'lat': b.lat, 'lon': b.lon}}) ELSE anchors END, coalesce(list_filter(anchors, lambda a: {KM} <= 10)[1].id, b.event_id) FROM walk w JOIN ev b ON b.day = w.day AND b.k = w.k + 1),
+m AS (SELECT day, event_id, hazard, joined AS cluster_id FROM ev JOIN walk USING (day, k)), c AS (SELECT day, cluster_id, CAST(count(DISTINCT hazard) AS INTEGER) AS hazards FROM m GROUP BY ALL HAVING count(DISTINCT hazard) >= 2)
+SELECT day, event_id, cluster_id, hazards FROM m JOIN c USING (day, cluster_id)""", recursive=True)
 def consequence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grave events of several hazards near one another, by day."""
     s = F.col("station")

@@ -45,7 +45,8 @@ def compass_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), classify.cardinal(F.col("event_id") % 360).alias("point"), classify.lead_bucket(F.col("value")).alias("lead"))
 
 
-@query()
+@query("""SELECT id, CASE WHEN good THEN 90 * list_sum(list_transform(range(2, length(bits) + 1, 2), lambda i: (2 * CAST(bits[i] AS INTEGER) - 1) / pow(2, i // 2))) END AS latitude, CASE WHEN good THEN 180 * list_sum(list_transform(range(1, length(bits) + 1, 2), lambda i: (2 * CAST(bits[i] AS INTEGER) - 1) / pow(2, (i + 1) // 2))) END AS longitude
+FROM (SELECT s_suppkey AS id, regexp_matches(code, '^[0-9bcdefghjkmnpqrstuvwxyz]+$') AS good, array_to_string(list_transform(range(1, length(code) + 1), lambda i: lpad(bin(greatest(0, instr('0123456789bcdefghjkmnpqrstuvwxyz', code[i]) - 1)), 5, '0')), '') AS bits FROM (SELECT s_suppkey, 'r1' || replace(lower(to_base(s_suppkey, 32)), 'a', 'z') AS code FROM supplier))""")
 def geohash_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("r1"), F.replace(F.lower(F.conv(F.col("s_suppkey").cast("string"), 10, 32)), F.lit("a"), F.lit("z")))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), geohash_centre(code).alias("centre")).select("id", "centre.latitude", "centre.longitude")
