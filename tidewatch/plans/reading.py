@@ -66,7 +66,10 @@ def flood_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.crossings(observations(spark, sf_dir), as_of())
 
 
-@query()
+@query(f""", past AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '{ORDERS_AS_OF}'), o AS (SELECT * FROM obs WHERE ts <= {NOW}), s AS (SELECT station, max(ts) FILTER (height < minor) AS below FROM o GROUP BY station),
+x AS (SELECT o_orderdate AS ts, o_orderkey % 500 = 0 AS emergency, CASE WHEN o_orderkey % 500 = 0 THEN 'SEWS — ' ELSE '' END || 'Warning ' || o_orderkey AS item FROM past WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderdate, o_orderkey % 400 = 1, CASE WHEN o_orderkey % 400 = 1 THEN 'Emergency Warning' ELSE 'Advice' END || ' — Town ' || o_orderkey FROM past WHERE o_orderstatus = 'O'
+UNION ALL SELECT min(o.ts), false, station || ' — ' || CASE priority WHEN 1 THEN 'Major flooding' WHEN 2 THEN 'Moderate flooding' ELSE 'Minor flooding' END FROM o JOIN s USING (station) JOIN (SELECT station, priority FROM classed) USING (station) WHERE priority < 4 AND below IS NOT NULL AND o.ts > below GROUP BY station, priority)
+SELECT ts, emergency, item FROM x WHERE emergency OR ts >= {NOW} - INTERVAL 24 HOUR""")
 def ticker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticker: warnings and crossings of a day, and emergencies of any age."""
     o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= at(ORDERS_AS_OF))
