@@ -10,6 +10,7 @@ from tidewatch.functions.times import at, minutes_between
 from tidewatch.operators import detect, trend, views
 from tidewatch.plans.detectors import FAST
 from tidewatch.plans.registry import ORDERS_AS_OF, as_of, journal, observations, query, table
+from tidewatch.plans.water import TREND_SQL
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
@@ -87,10 +88,15 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.watch_points(analysed, cells, gusts, near_m=50.0)
 
 
-@query()
+@query(TREND_SQL + f""", near AS (SELECT *, target - current AS d, CASE WHEN rate >= 0.02 AND (target - current) / rate <= 240 THEN (target - current) / rate END AS eta FROM a WHERE target > current AND target - current <= 50 AND rate > 0 ORDER BY target - current, station LIMIT 8),
+strong AS (SELECT * FROM obs WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= {NOW} AND height >= 60 ORDER BY height DESC, 'C-' || seq LIMIT 4), gu AS (SELECT 'Station ' || station AS name, max(height) AS gust FROM obs WHERE ts > TIMESTAMP '2024-01-15 00:00:00' AND ts <= {NOW} GROUP BY station HAVING max(height) >= 70 ORDER BY max(height) DESC, name LIMIT 3),
+wp AS (SELECT 1 AS part, row_number() OVER (ORDER BY d, station) AS k, CASE WHEN eta IS NOT NULL THEN 'PROJECTION' ELSE 'OBSERVED' END AS kind, CAST(station AS VARCHAR) AS title, list_filter([printf('%.2f m below %.2f m · rising %+.2f m/hr', CAST(d AS DOUBLE), CAST(target AS DOUBLE), rate), CASE WHEN eta IS NOT NULL THEN printf('Projected to reach it in about %.1f hr; not an official forecast', eta) END], lambda l: l IS NOT NULL) AS lines FROM near
+UNION ALL SELECT 2, row_number() OVER (ORDER BY height DESC, 'C-' || seq), 'OBSERVED', 'Storm cell C-' || seq, [CASE WHEN height >= 120 THEN 'Strong' ELSE 'Moderate' END || ' · ' || ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][1 + CAST(floor(seq % 360 / 22.5 + 0.5) AS INTEGER) % 16] || printf(' at %.0f km/h', height) || printf(' · ~%.0f km²', height * 2)] FROM strong
+UNION ALL SELECT 3, 1, 'OBSERVED', 'Strong wind gusts observed', list(name || printf(' — %.0f km/h', gust) ORDER BY gust DESC, name) FROM gu HAVING count(*) > 0)
+SELECT CAST(row_number() OVER (ORDER BY part, k) AS INTEGER) AS position, kind, title, array_to_string(lines, '; ') AS lines FROM wp QUALIFY position <= 8""")
 def watch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is short of its worst threshold and deserves attention."""
-    return _points(spark, sf_dir)
+    return _points(spark, sf_dir).withColumn("lines", F.array_join("lines", "; "))
 
 
 @query()
