@@ -44,6 +44,13 @@ def test_reasons(spark):
     assert [(r.station, r.observed_at, r.target_name, r.readings, r.lead_minutes, r.eta_point) for r in made] == [("a", at(50), "minor", 6, 10, at(60))]
 
 
+def test_near_flood_is_exact_at_the_share(spark):
+    rows = [("a", 42.4, 53), ("b", 32.8, 41), ("c", 44.8, 56), ("d", 42.39, 53), ("e", 44.81, 56), ("f", None, 53), ("g", 1.0, None)]
+    for kind in ("long", "double"):
+        levels = spark.createDataFrame(rows, "station string, height double, minor long").withColumn("minor", F.col("minor").cast(kind))
+        assert {r.station for r in trend.near_flood(levels, 0.8).collect()} == {"a", "b", "c", "e"}
+
+
 def sample(seed):
     """Readings every ten minutes of three gauges, and projections made from some."""
     rng = random.Random(seed)

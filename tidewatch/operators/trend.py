@@ -111,8 +111,11 @@ def projections(analyses: DataFrame, made_at: Column) -> DataFrame:
 
 
 def near_flood(latest_readings: DataFrame, share: float) -> DataFrame:
-    """Gauges (station, height, minor) whose height is at least that share of their minor level."""
-    return latest_readings.where(F.col("height") >= share * F.col("minor"))
+    """Gauges (station, height, minor) whose height is at least that share of their minor level.
+
+    The product is rounded, as 0.8 of 53 would be a little over 42.4 in binary.
+    """
+    return latest_readings.where(F.col("height") >= F.round(share * F.col("minor").cast("double"), 9))
 
 
 def settle(projected: DataFrame, series: DataFrame, now: Column, *, key: str = "station", grace_h: float = 3.0) -> DataFrame:
