@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tidewatch.functions import times
 from tidewatch.operators import context
 
@@ -70,3 +72,15 @@ def test_wettest_station_near_a_gauge(spark):
     instants = spark.createDataFrame([(at(0),), (at(-60),)], f"at {NTZ}")
     got = {((r["at"] - T0).total_seconds() / 60, r.station): (r.max_mm, r.wettest, r.stations) for r in context.catchment_rainfall(gauges, instants, stations, readings).collect()}
     assert got == {(0, "g"): (3.0, "a", 2), (-60, "g"): (5.0, "a", 1)}
+
+
+def test_stations_of_one_place_are_taken_together(spark):
+    """Totals that only the order of their sums tells apart are equal: the nearest station counts; 2,500 gauges and stations at a place are one pair."""
+    n = 2500
+    gauges = spark.range(n).select(F.col("id").alias("station"), F.lit(-37.0).alias("lat"), F.lit(145.0).alias("lon"))
+    stations = spark.range(n).select(F.col("id").alias("wmo"), F.when(F.col("id") == 0, -37.0 - NEAR).otherwise(-37.0).alias("lat"), F.lit(145.0).alias("lon"))
+    rain = [(0, -30, 0.0), (0, -20, 0.1), (0, -10, 0.1 + 0.2)] + [(k, t, v) for k in range(1, n) for t, v in ((-30, 0.0), (-10, 0.3))]
+    readings = spark.createDataFrame([(w, at(t), t + 100, v) for w, t, v in rain], f"wmo long, ts {NTZ}, seq long, rain double")
+    out = context.catchment_rainfall(gauges, spark.createDataFrame([(at(0),)], f"at {NTZ}"), stations, readings)
+    row = out.groupBy("wettest", "stations").agg(F.count("*").alias("n")).collect()
+    assert [tuple(r) for r in row] == [(1, n, n)]

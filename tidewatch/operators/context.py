@@ -147,14 +147,21 @@ def catchment_rainfall(gauges: DataFrame, instants: DataFrame, stations: DataFra
     """(station, at, max_mm, wettest, stations): rain near each gauge before each instant: the wettest station's total, not the mean.
 
     gauges: station, lat, lon; stations: wmo, lat, lon; readings: wmo, ts, seq, rain. Of equal totals the nearest station
-    counts, then the first. Gauges without a station in range, or none that reported twice, are absent.
+    counts, then the first; totals and km are equal if they are to six places, as sums depend on their order. Gauges
+    without a station in range, or none that reported twice, are absent.
+
+    Stations at one place are taken together before places meet, so only places multiply.
     """
-    near = spatial.radius_join(gauges, stations, km).select("station", "wmo", "km")
+    sites = stations.where("lat IS NOT NULL AND lon IS NOT NULL")
+    places = spatial.radius_join(gauges.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct(), sites.select("lat", "lon").distinct(), km)
+    near = sites.join(places.select(F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon")).distinct(), ["lat", "lon"], "left_semi").select("wmo", "lat", "lon")
     known = readings.where("rain IS NOT NULL").join(near.select("wmo").distinct(), "wmo", "left_semi")
     grown = F.when(F.col("rain") >= F.col("prev_rain"), F.col("rain") - F.col("prev_rain")).when(F.col("prev_rain").isNotNull(), F.col("rain")).otherwise(0.0)
     steps = with_previous(known.select("wmo", "ts", "seq", "rain"), ["wmo"], "ts", "seq", ["rain"]).withColumn("step", grown)
     asked = near.select("wmo").distinct().crossJoin(F.broadcast(instants.select("at").distinct()))
     totals = window_totals(steps, asked, hours)
-    both = near.join(totals, "wmo")
-    first = F.struct((-F.col("total")).alias("t"), "km", "wmo")
-    return both.groupBy("station", "at").agg(F.max("total").alias("max_mm"), F.min_by("wmo", first).alias("wettest"), F.count("*").alias("stations"))
+    first = F.struct((-F.round("total", 6)).alias("t"), "wmo")
+    held = near.join(totals, "wmo").groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "at").agg(F.max("total").alias("total"), F.min(first).alias("first"), F.count("*").alias("n"))
+    order = F.struct(F.col("first.t"), F.round("km", 6).alias("km"), F.col("first.wmo"))
+    figures = places.join(held, ["r_lat", "r_lon"]).groupBy("lat", "lon", "at").agg(F.max("total").alias("max_mm"), F.min(order)["wmo"].alias("wettest"), F.sum("n").alias("stations"))
+    return gauges.join(figures, ["lat", "lon"]).select("station", "at", "max_mm", "wettest", "stations")
