@@ -51,6 +51,36 @@ def test_tags(spark):
     assert [(r.name, r.start_ts, r.end_ts) for r in intervals.tags_of_events(events, tags).collect()] == [("old", at(1), at(9))]
 
 
+def test_figures_of_tags_equal_those_of_pairs(spark):
+    """As `tagged` and a grouping, with ties, null times, entities and sources, windows of an instant; and in far fewer rows than pairs."""
+    rng = random.Random(3)
+    when = lambda: rng.choice([None, at(rng.randrange(300)), at(rng.random() * 3000), at(rng.randrange(-90, 90) * 40)])
+    tags = spark.createDataFrame([(k, f"t{k}", when(), when()) for k in range(120)] + [(500, "x", at(5), at(5))], f"id long, name string, start_ts {NTZ}, end_ts {NTZ}")
+    rows = [(k, when(), rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3, *range(60)]), rng.choice([None, 1.0, 2.5, float(k)])) for k in range(2500)]
+    series = spark.createDataFrame(rows, f"seq long, t {NTZ}, source string, entity long, height double")
+    now = times.at(str(at(2000)))
+    pairs = intervals.tagged(series, "t", tags, now)
+    want = pairs.groupBy("tag_id").agg(F.count("*").alias("n"), F.max("height").alias("peak"), F.max_by("seq", F.struct("height", "seq")).alias("top"))
+    first = [F.count("*").alias("n"), F.max("height").alias("peak"), F.max(F.struct("height", "seq")).alias("top")]
+    got = intervals.tagged_totals(series, "t", tags, now, first, [F.sum("n").alias("n"), F.max("peak").alias("peak"), F.max("top").alias("top")])
+    assert {(r.tag_id, r.n, r.peak, r.top.seq) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 60
+    want = pairs.groupBy("tag_id", "source").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
+    got = intervals.tagged_counts(series, "t", tags, now, ["source"], "entity")
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect())
+
+
+def test_a_window_of_numbers_is_few_nodes(spark):
+    rng = random.Random(5)
+    spans = [(k, *sorted((rng.randrange(70_000), rng.randrange(70_000)))) for k in range(300)] + [(900, 0, 69_999), (901, 7, 7)]
+    nodes = intervals._numbered_nodes(spark.createDataFrame(spans, "k long, _low long, _high long"), 4).collect()
+    held = {}
+    for r in nodes:
+        held.setdefault(r.k, []).append((r.block * 16**r.level, (r.block + 1) * 16**r.level))
+    for k, low, high in spans:
+        parts = sorted(held[k])
+        assert parts[0][0] == low and parts[-1][1] == high + 1 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and len(parts) <= 5 * 30
+
+
 def test_states_are_those_of_the_instant(spark):
     rows = [("fire", "a", 0, 1, 1, '{"status": "Going", "source": "shadow", "size": 2}'), ("fire", "a", 10, 1, 2, "no json"), ("fire", "a", 20, 0, 3, None), ("power", "b", 5, 1, 4, "{}"), ("power", "c", 5, 1, 5, None)]
     journal = spark.createDataFrame([(s, k, at(t), a, n, j, None if k == "b" else 1.0, None) for s, k, t, a, n, j in rows], f"source string, entity_key string, effective_ts {NTZ}, active int, seq long, state_json string, latitude double, longitude double")

@@ -111,15 +111,15 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TAGS_SQL + "SELECT id AS tag_id, count(*) AS n, max(height) AS peak, arg_max(seq, (height, seq)) AS peak_seq FROM tw JOIN obs ON ts BETWEEN start_ts AND stop GROUP BY id")
 def tagged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings by event, and the highest of each."""
-    rows = intervals.tagged(observations(spark, sf_dir), "ts", tags(spark, sf_dir), as_of())
-    return rows.groupBy("tag_id").agg(F.count("*").alias("n"), F.max("height").alias("peak"), F.max_by("seq", F.struct("height", "seq")).alias("peak_seq"))
+    first = [F.count("*").alias("n"), F.max("height").alias("peak"), F.max(F.struct("height", "seq")).alias("top")]
+    rows = intervals.tagged_totals(observations(spark, sf_dir), "ts", tags(spark, sf_dir), as_of(), first, [F.sum("n").alias("n"), F.max("peak").alias("peak"), F.max("top").alias("top")])
+    return rows.select("tag_id", "n", "peak", F.col("top.seq").alias("peak_seq"))
 
 
 @query(TAGS_SQL + JOURNAL_SQL + "SELECT id AS tag_id, jn.source, count(*) AS n, count(DISTINCT entity_key) AS entities FROM tw JOIN jn ON effective_ts BETWEEN start_ts AND stop GROUP BY ALL")
 def tagged_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded changes by event and source."""
-    rows = intervals.tagged(journal(spark, sf_dir), "effective_ts", tags(spark, sf_dir), as_of())
-    return rows.groupBy("tag_id", "source").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("entities"))
+    return intervals.tagged_counts(journal(spark, sf_dir), "effective_ts", tags(spark, sf_dir), as_of(), ["source"], "entity_key")
 
 
 @query(TAGS_SQL + """, ev AS (SELECT CASE WHEN station % 7 = 0 THEN 'live' WHEN station % 7 < 6 THEN 'Flood ' || station % 40 END AS event, ts FROM obs), own AS (SELECT 'Flood ' || id AS name FROM tg WHERE id % 5 = 1)
