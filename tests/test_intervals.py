@@ -106,3 +106,19 @@ def test_layers_forget_what_is_old(spark):
     assert minutes(rows) == {(0, 1), (20, 1), (21, 1), (1440, 1)} and {r.priority for r in rows.collect()} == {1}
     aws = spark.createDataFrame([("w", at(0), 1), ("w", at(0), 2), ("w", at(25), 3)], f"wmo string, ts {NTZ}, k long")
     assert minutes(replay.weather_at(aws, spark.createDataFrame([("x", 1.0)], "wmo string, latitude double"), instants)) == {(0, 1), (0, 2), (20, 1), (20, 2), (21, 1), (21, 2), (1440, 3), (1441, 3)}
+
+
+def test_rows_at_instants_are_few_after_the_first_shuffle(spark):
+    """As the spans of validity that hold an instant, for keys with null parts, ties and instants off the rows' range; no row is taken apart."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "c"]), rng.choice([1, 2, 3]), None if rng.random() < 0.1 else at(rng.randrange(0, 3000, 7)), k) for k in range(1500)]
+    df = spark.createDataFrame(rows, f"s string, k long, ts {NTZ}, seq long")
+    instants = spark.createDataFrame([(t,) for t in [at(m) for m in (-5, 0, 700, 701, 1500, 1500, 2999, 9000)] + [None]], f"at {NTZ}")
+    age = F.expr("INTERVAL 1 DAY")
+    for max_age in (None, age):
+        want = intervals.stab(intervals.validity(df, ["s", "k"], "ts", "seq", max_age=max_age), instants.distinct()).select("at", *df.columns)
+        got = replay.last_at(df, ["s", "k"], "ts", "seq", instants, max_age=max_age)
+        assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect()) and got.count() > 20
+        want = intervals.stab(intervals.validity_of_times(df, ["s", "k"], "ts", max_age=max_age), instants.distinct()).select("at", *df.columns)
+        got = replay.last_times_at(df, ["s", "k"], "ts", instants, max_age=max_age)
+        assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect())
