@@ -1,7 +1,11 @@
 """Stations named in texts against a plain search, and rows of guides."""
 
 import random
+import re
 
+from pyspark.sql import functions as F
+
+from tidewatch.functions import text
 from tidewatch.operators import guides
 
 KNOWN = [(0, "Avoca River at Amphitheatre", 1.0, 2.0, 3.0), (1, "avoca river at amphitheatre", 9.0, 9.0, 9.0), (2, "Creek", 1.0, None, None), (3, "My Ck at Oak", 1.0, 2.0, 3.0), (4, "Avoca River at Charlton Weir", 4.0, 5.0, 6.0), (5, "Rich's Creek at the D", 1.0, 2.0, 3.0), (6, "Ovo at Far", 1.0, 2.0, 3.0), (7, " ", 1.0, 2.0, 3.0), (8, None, 1.0, 2.0, 3.0)]
@@ -26,6 +30,24 @@ def test_candidates_equal_a_search(spark):
     assert len(want) > 200 and len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_plain_equals_a_plain_pattern(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(" ab9,-'\u2019\u00e9\n\tZ") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.plain(F.col("t")).alias("p")).collect():
+        assert r.p == re.sub("[^a-z0-9]+", " ", re.sub("['\u2019]", "", r.t.lower())).strip(" ")
+
+
+def test_texts_of_decided_units_are_not_searched(spark, monkeypatch):
+    """Of three texts of each unit only as many are searched as it takes to find a station."""
+    tables, write = [], guides.written
+    monkeypatch.setattr(guides, "written", lambda df, name: (tables.append((name, out := write(df, name))), out)[1])
+    units = spark.createDataFrame([(k, "x", None, None, None) for k in range(40)], "unit long, file string, minor double, moderate double, major double")
+    rows = [(k, step, True, "Avoca River, Charlton" if step == k % 4 else "none") for k in range(40) for step in range(3)]
+    got = guides.best_station(units, spark.createDataFrame(rows, "unit long, step int, page boolean, text string"), known(spark)).collect()
+    assert {(r.unit, r.seq, r.step) for r in got} == {(k, 4, k % 4) for k in range(40) if k % 4 < 3}
+    assert sum(t.select("context").distinct().count() for name, t in tables if name == "words") == 40 + 30 + 20
+
+
 def test_best_station(spark):
     units = [("a", "Charlton guide", 1.1, None, None), ("b", "guide", 1.0, 2.1, 9.0), ("c", "guide", None, None, None), ("d", "x", None, None, None), ("e", None, None, None, None)]
     both = "Avoca River, Amphitheatre and Charlton"

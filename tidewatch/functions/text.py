@@ -101,7 +101,8 @@ def tokens(c: Column, stop: list[str]) -> Column:
 
 def plain(c: Column) -> Column:
     """Lower case, without apostrophes, other signs as single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['\u2019]", ""), "[^a-z0-9]+", " "))
+    # blanks that stand alone, which most are, stay as they are
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['\u2019]", ""), " *+[^a-z0-9 ][^a-z0-9]*+|  +", " "))
 
 
 def town_of_file(c: Column) -> Column:

@@ -6,6 +6,8 @@ may be part of a longer word. An inverted index of words proposes the candidates
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +76,18 @@ def best_station(units: DataFrame, contexts: DataFrame, known: DataFrame, *, tol
     there the highest score: four for each level that agrees, two for the place's first word in the file's name, three for
     any, one for a text of the unit's page. Of equal scores the station first by seq wins.
     """
-    texts = contexts.select(F.struct("unit", "step").alias("context"), "unit", "step", "page", text.plain(F.col("text")).alias("text"))
-    found = candidates(texts.select("context", "text"), known)
-    first = found.withColumn("unit", F.col("context.unit")).groupBy("unit").agg(F.min("context.step").alias("step"))
-    found = found.select(F.col("context.unit").alias("unit"), F.col("context.step").alias("step"), "seq").join(first, ["unit", "step"])
-    rows = found.join(texts.select("unit", "step", "page"), ["unit", "step"]).join(units.select("unit", text.plain(F.col("file")).alias("file"), *[F.col(c).alias(f"_{c}") for c in CLASSES]), "unit")
+    # there are a few steps; each looks at those units only that no text before it decides, and its texts are tidied once
+    steps = sorted(r[0] for r in contexts.where("step IS NOT NULL").select("step").distinct().collect())
+    found, rest = [], contexts
+    for k in steps:
+        texts = rest.where(F.col("step") == k).select(F.struct("unit", "step").alias("context"), "page", text.plain(F.col("text")).alias("text"))
+        texts = written(texts, "texts")
+        named = candidates(texts.select("context", "text"), known).join(texts.select("context", "page"), "context")
+        found.append(written(named.select("context.unit", "context.step", "page", "seq"), "named"))
+        rest = rest.join(found[-1].select("unit").distinct(), "unit", "left_anti")
+    none = contexts.limit(0).select("unit", "step", "page").join(known.limit(0).select("seq"), F.lit(True))
+    rows = reduce(DataFrame.unionByName, found, none)
+    rows = rows.join(units.select("unit", text.plain(F.col("file")).alias("file"), *[F.col(c).alias(f"_{c}") for c in CLASSES]), "unit")
     rows = rows.join(known.select("seq", "tokens", *CLASSES), "seq")
     agree = sum((F.coalesce((F.abs(F.col(f"_{c}") - F.col(c)) <= tolerance).cast("int"), F.lit(0)) for c in CLASSES), F.lit(0))
     one, any_ = (F.coalesce(x, F.lit(False)).cast("int") for x in (F.contains("file", F.get("tokens", F.lit(0))), F.exists("tokens", lambda t: F.contains("file", t))))
